@@ -2,7 +2,16 @@
 from pyspark import cloudpickle
 
 from .functions import kernels, wkb
+from .operators import http, lines, overlay
+from .plans import pipeline, spec
+from .sources import gpkg, services
 
-# The few Arrow kernels travel to the executors with the job, so a cluster needs no install.
-cloudpickle.register_pickle_by_value(kernels)
-cloudpickle.register_pickle_by_value(wkb)
+# The few Python kernels travel to the executors with the job, so a cluster needs no install.
+for _module in (kernels, wkb, overlay, lines, http, services, gpkg):
+    cloudpickle.register_pickle_by_value(_module)
+
+load = spec.load
+run = pipeline.run
+PipelineRun = pipeline.PipelineRun
+
+__all__ = ["PipelineRun", "load", "run"]

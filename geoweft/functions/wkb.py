@@ -112,23 +112,26 @@ def encode(g: dict | None) -> bytes | None:
 
 
 @F.arrow_udf(GEOMETRY)
-def _from_wkb(blobs: pa.Array) -> pa.Array:
+def _from_wkb(blobs: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array([decode(b) for b in blobs.to_pylist()], GEOMETRY_ARROW)
 
 
 @F.arrow_udf("binary")
-def _to_wkb(geoms: pa.Array) -> pa.Array:
+def _to_wkb(geoms: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array([encode(g) for g in geoms.to_pylist()], pa.binary())
 
 
-# Marked nondeterministic so the planner computes each once and keeps it out of other
-# expressions' lambdas, where no Python function can run.
+# Marked nondeterministic so the planner computes each once. The argument goes in twice: an
+# expression used twice isn't inlined, and an inlined one with nested lambdas would keep the
+# function from being planned. (Arrow still carries the column once.)
 _from_wkb, _to_wkb = _from_wkb.asNondeterministic(), _to_wkb.asNondeterministic()
 
 
 def from_wkb(blob: Column) -> Column:
-    return _from_wkb(blob)
+    """`blob` has to be a plain column."""
+    return _from_wkb(blob, blob)
 
 
 def to_wkb(geom: Column) -> Column:
-    return _to_wkb(geom)
+    """`geom` has to be a plain column."""
+    return _to_wkb(geom, geom)

@@ -340,20 +340,25 @@ def simplify(df: DataFrame, tolerance: float, shared_boundaries: bool = False, k
     tol = float(tolerance)
 
     @F.arrow_udf(f"ARRAY<{geo.PART}>")
-    def thinned(parts: pa.Array) -> pa.Array:
+    def thinned(parts: pa.Array, _same: pa.Array) -> pa.Array:
         done = [None if ps is None else [kernels.simplify_part(p, tol) for p in ps] for ps in parts.to_pylist()]
         return pa.array(done, pa.list_(PART_ARROW))
 
     thinned = thinned.asNondeterministic()  # computed once, outside other expressions' lambdas
-    alone = F.when(F.col("geom").isNotNull(), F.struct(F.col("geom.kind").alias("kind"), thinned(F.col("geom.parts")).alias("parts")))
+
+    def one_by_one(rows: DataFrame) -> DataFrame:
+        parts = rows.withColumn("__parts", F.col("geom.parts"))
+        done = parts.withColumn("__thin", thinned("__parts", "__parts"))
+        return done.withColumn("geom", F.expr(f"CASE WHEN geom IS NOT NULL THEN {geo._geometry('geom.kind', '__thin')} END")).select(*rows.columns)
+
     if not shared_boundaries:
-        return df.withColumn("geom", alone)
+        return one_by_one(df)
     df = stored(df)
     shared = _simplified_coverage(df.filter(F.expr(geo.is_polygon("geom"))).select(ROW, "geom"), tol, keep_outer_boundary)
     polys = df.join(shared, ROW, "left").filter(F.expr(geo.is_polygon("geom"))).withColumn("geom", F.expr(
         f"CASE WHEN __parts IS NULL THEN geom ELSE {geo._geometry('geom.kind', '__parts')} END"))
-    rest = df.filter(f"geom IS NULL OR NOT {geo.is_polygon('geom')}").withColumn("geom", alone)
-    return polys.select(*df.columns).unionByName(rest.select(*df.columns))
+    rest = df.filter(f"geom IS NULL OR NOT {geo.is_polygon('geom')}")
+    return polys.select(*df.columns).unionByName(one_by_one(rest))
 
 
 def _simplified_coverage(polys: DataFrame, tol: float, keep_outer: bool) -> DataFrame:
@@ -375,10 +380,10 @@ def _simplified_coverage(polys: DataFrame, tol: float, keep_outer: bool) -> Data
         F.expr("array_sort(collect_list(named_struct('i', i, 'x', x, 'y', y, 'junction', junction, 'rings', rings)))").alias("v"))
 
     @F.arrow_udf(geo.RING)
-    def thinned(vertices: pa.Array) -> pa.Array:
+    def thinned(vertices: pa.Array, _same: pa.Array) -> pa.Array:
         return pa.array([kernels.simplify_marked_ring(v, tol, keep_outer) for v in vertices.to_pylist()], pa.list_(kernels.VERTEX))
 
-    done = marked.select(ROW, "p", "q", thinned(F.col("v")).alias("ring"))
+    done = marked.select(ROW, "p", "q", thinned("v", "v").alias("ring"))
     parts = done.groupBy(ROW, "p").agg(F.expr("transform(array_sort(collect_list(named_struct('q', q, 'r', ring))), c -> c.r)").alias("rings"))
     return parts.groupBy(ROW).agg(F.expr(
         "transform(array_sort(collect_list(named_struct('p', p, 'rings', rings))), c -> named_struct('dim', 2, 'rings', c.rings))").alias("__parts"))

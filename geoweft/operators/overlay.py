@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -28,12 +28,17 @@ EDGE = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
 
 @F.arrow_udf(PARTS)
-def polygons_from_edges(edges: pa.Array) -> pa.Array:
+def _polygons_from_edges(edges: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array(kernels.polygons_from_edges(edges), pa.list_(PART_ARROW))
 
 
-# Computed once, and never inside another expression's lambda, where Python can't run.
-polygons_from_edges = polygons_from_edges.asNondeterministic()
+_polygons_from_edges = _polygons_from_edges.asNondeterministic()
+
+
+def polygons_from_edges(column: str) -> Column:
+    """Polygon parts of an array of edges. Given twice, as for WKB, so that the planner leaves
+    the argument's own expression where it is."""
+    return _polygons_from_edges(F.col(column), F.col(column))
 
 
 # ---- within a row: one geometry with another ---------------------------------
@@ -90,9 +95,9 @@ def intersections(pairs: DataFrame) -> DataFrame:
     rows = (
         _gridded(pairs.withColumn("__a", F.expr(noding.oriented("a"))).withColumn("__b", F.expr(noding.oriented("b"))), "__a", "__b")
         .withColumn("__dim", F.expr(geo.dimension("a")))
-        .withColumn("__edges", F.expr(f"CASE WHEN __dim = 2 THEN {common_edges('__a', '__b', '__inv')} END"))
+        .withColumn("__edges", F.expr(f"CASE WHEN __dim = 2 THEN {common_edges('__a', '__b', '__inv')} ELSE CAST(array() AS ARRAY<{EDGE}>) END"))
     )
-    areas = polygons_from_edges(F.coalesce(F.col("__edges"), F.expr(f"CAST(array() AS ARRAY<{EDGE}>)")))
+    areas = polygons_from_edges("__edges")
     lines = noding.runs(noding.line_pieces("__a", "__b"))
     points = f"filter(a.parts, {p} -> {geo.covered('__b', f'{p}.rings[0][0].x', f'{p}.rings[0][0].y')})"
     # stored: the followed rings are used inside lambdas next
@@ -230,7 +235,7 @@ def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def _row_rings(edges: DataFrame) -> DataFrame:
     return edges.groupBy("k").agg(F.collect_list("e").alias("edges")).select(
-        "k", polygons_from_edges(F.col("edges")).alias("parts"),
+        "k", polygons_from_edges("edges").alias("parts"),
     )
 
 
