@@ -11,6 +11,13 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import types as T
+
+VERTEX_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z")])
+RING_TYPE = T.ArrayType(VERTEX_TYPE)
+PART_TYPE = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("rings", T.ArrayType(RING_TYPE))])
+GEOMETRY_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parts", T.ArrayType(PART_TYPE))])
+
 VERTEX = "STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE>"
 RING = f"ARRAY<{VERTEX}>"
 PART = f"STRUCT<dim: INT, rings: ARRAY<{RING}>>"

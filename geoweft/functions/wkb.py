@@ -8,8 +8,9 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .geometry import GEOMETRY
+from .geometry import GEOMETRY_TYPE
 
 # ---- fixed values: WKB type codes, and EWKB's flag bits ----
 KIND_CODES = {
@@ -111,12 +112,12 @@ def encode(g: dict | None) -> bytes | None:
     return struct.pack("<BII", 1, code + z, len(parts)) + b"".join(map(_encode_part, parts))
 
 
-@F.arrow_udf(GEOMETRY)
+@F.arrow_udf(GEOMETRY_TYPE)
 def _from_wkb(blobs: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array([decode(b) for b in blobs.to_pylist()], GEOMETRY_ARROW)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _to_wkb(geoms: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array([encode(g) for g in geoms.to_pylist()], pa.binary())
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -28,16 +28,22 @@ HOT_CELL_ROWS = 20_000
 _own_folders: dict[str, str] = {}
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder the cluster names (one of our own where it names none,
+    as in tests)."""
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
+    if folder is None:
+        folder = _own_folders[app] = tempfile.mkdtemp(prefix="geoweft-")
+    return f"{folder.rstrip('/')}/geoweft/{app}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once, as Parquet in the shared checkpoint folder, and read back: what
     is read several times is computed once, the lineage is cut, and a lost executor costs
     nothing. The file sizes also tell the planner which tables are small."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
-    if folder is None:
-        folder = _own_folders[app] = tempfile.mkdtemp(prefix="geoweft-")
-    path = f"{folder.rstrip('/')}/geoweft/{app}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

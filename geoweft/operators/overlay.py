@@ -12,6 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import kernels, noding
@@ -23,11 +24,10 @@ from .grid import grown, overlapping_pairs, stored
 # is put in order by joins first.
 ROW_EDGES = 200_000
 
-PARTS = f"ARRAY<{geo.PART}>"
 EDGE = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
 
-@F.arrow_udf(PARTS)
+@F.arrow_udf(T.ArrayType(geo.PART_TYPE))
 def _polygons_from_edges(edges: pa.Array, _same: pa.Array) -> pa.Array:
     return pa.array(kernels.polygons_from_edges(edges), pa.list_(PART_ARROW))
 
