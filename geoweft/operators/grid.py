@@ -23,6 +23,9 @@ from ..functions import geometry as geo
 FLOOR_LEVEL = -16
 # Rows of one side meeting in a cell before its rows are dealt over sub-groups.
 HOT_CELL_ROWS = 20_000
+# Rows of both sides of a pair join per task, and the fewest worth a task of their own.
+ROWS_PER_TASK = 100_000
+LEAST_ROWS_PER_TASK = 500
 
 
 _own_folders: dict[str, str] = {}
@@ -94,28 +97,44 @@ def overlapping_pairs(
     l_cols, r_cols = left.columns, right.columns
 
     def packed(df, cols, name):
+        # joined on one hash of cell and keys (a long sorts and hashes fast); the pairs are
+        # checked on the values themselves below
+        own = [F.col(k).alias(f"{name}_{k}") for k in keys]
         return df.select(
-            "cell", *[F.col(k).alias(f"on_{k}") for k in keys], F.struct(*cols).alias(name),
+            F.xxhash64("cell", *[F.col(k) for k in keys]).alias("at"), F.col("cell").alias(f"{name}_cell"), *own, F.struct(*cols).alias(name),
         )
 
+    # What is done with a row or pair costs far more than its bytes tell: tasks are cut by rows.
+    tasks = _tasks(left.sparkSession, l_rows + r_rows)
+    if tasks > 1:
+        lv, rv = (df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, "box") for df in (lv, rv))
     lc = packed(_with_cells(lv, 0, r_levels, strict=True), l_cols, "l")
     rc = packed(_with_cells(rv, 1, l_levels, strict=False), r_cols, "r")
-    by = ["cell"] + [f"on_{k}" for k in keys]
+    by = ["at"]
     if max(l_rows, r_rows) > HOT_CELL_ROWS:  # a row is in a cell once: else none can be hot
-        lc, rc, by = _deal_hot_cells(lc, rc, by)
-    joined = lc.join(rc, by)
-    size = "pow(2D, cell.level)"
+        lc, rc, by = _deal_hot_cells(lc, rc)
+    # Merged, never broadcast: the planner's sizes know nothing of the rows the cells add.
+    joined = lc.repartition(tasks, *by).join(rc.repartition(tasks, *by).hint("merge"), by)
+    size = "pow(2D, l_cell.level)"
+    same = " AND ".join(["l_cell = r_cell", *[f"l_{k} = r_{k}" for k in keys]])
     return joined.filter(F.expr(
-        # the one cell that holds the upper of both lower-left corners keeps the pair
-        f"cell.cx = greatest(floor(l.box.xmin / {size}), floor(r.box.xmin / {size})) AND "
-        f"cell.cy = greatest(floor(l.box.ymin / {size}), floor(r.box.ymin / {size})) AND "
         "l.box.xmin <= r.box.xmax AND r.box.xmin <= l.box.xmax AND "
-        "l.box.ymin <= r.box.ymax AND r.box.ymin <= l.box.ymax"
+        f"l.box.ymin <= r.box.ymax AND r.box.ymin <= l.box.ymax AND {same} AND "
+        # the one cell that holds the upper of both lower-left corners keeps the pair
+        f"l_cell.cx = greatest(floor(l.box.xmin / {size}), floor(r.box.xmin / {size})) AND "
+        f"l_cell.cy = greatest(floor(l.box.ymin / {size}), floor(r.box.ymin / {size}))"
     )).select("l", "r")
 
 
-def _deal_hot_cells(lc: DataFrame, rc: DataFrame, by: list[str]):
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for a join of this many rows: enough for every core once there is work for them,
+    and more as the rows grow."""
+    return max(1, rows // ROWS_PER_TASK, min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS_PER_TASK))
+
+
+def _deal_hot_cells(lc: DataFrame, rc: DataFrame):
     """Spread the rows of crowded cells over sub-groups both sides agree on."""
+    by = ["at"]
     ln = lc.groupBy(by).agg(F.count(F.lit(1)).alias("ln"))
     rn = rc.groupBy(by).agg(F.count(F.lit(1)).alias("rn"))
     hot = ln.join(rn, by).filter((F.col("ln") > HOT_CELL_ROWS) | (F.col("rn") > HOT_CELL_ROWS)).select(

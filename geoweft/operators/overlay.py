@@ -122,29 +122,39 @@ def _cut_edges(edges: DataFrame, inverse: str) -> DataFrame:
     lean = boxed.select("k", "eid", "e", "box")
     wide = lean.withColumn("box", F.expr(grown("box", f"2D / {inverse}")))
     pairs = overlapping_pairs(wide, lean, on=["k"]).filter("l.eid <> r.eid")
+    pairs = pairs.filter("NOT (l.e = r.e)")
     marks = pairs.select("l.k", "l.eid", F.expr(f"inline({noding.cuts('l.e', 'r.e', inverse)})"))
-    ends = lean.select("k", "eid", F.expr(
+    # only edges that are cut go through the window; a hash leads its keys, as a long sorts fast
+    cut_only = marks.distinct().withColumn("h", F.xxhash64("k", "eid"))
+    touched = cut_only.select("h", "k", "eid").distinct()
+    hashed = lean.withColumn("h", F.xxhash64("k", "eid"))
+    ends = hashed.join(touched, ["h", "k", "eid"], "left_semi").select("k", "eid", F.expr(
         "inline(array(named_struct('t', 0D, 'x', e.x1, 'y', e.y1), named_struct('t', 1D, 'x', e.x2, 'y', e.y2)))"
-    ))
-    cut = (
-        marks.unionByName(ends).distinct()
-        .withColumn("nx", F.expr("lead(x) OVER (PARTITION BY k, eid ORDER BY t, x, y)"))
-        .withColumn("ny", F.expr("lead(y) OVER (PARTITION BY k, eid ORDER BY t, x, y)"))
+    ), "h")
+    whole = hashed.join(touched, ["h", "k", "eid"], "left_anti").select("h", "k", "eid", F.lit(0.0).alias("seq"), "e")
+    order = "OVER (PARTITION BY h, k, eid ORDER BY t, x, y)"
+    cut = whole.unionByName(
+        cut_only.unionByName(ends)
+        .withColumn("nx", F.expr(f"lead(x) {order}")).withColumn("ny", F.expr(f"lead(y) {order}"))
         .filter("nx IS NOT NULL AND (x <> nx OR y <> ny)")
-        .select("k", "eid", F.col("t").alias("seq"), F.struct(
+        .select("h", "k", "eid", F.col("t").alias("seq"), F.struct(
             F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("nx").alias("x2"), F.col("ny").alias("y2"),
         ).alias("e"))
     )
-    return boxed.drop("box", "e").join(cut, ["k", "eid"])
+    rest = [c for c in edges.columns if c not in ("k", "eid", "e")]
+    if not rest:
+        return cut.drop("h")
+    kept = boxed.select("k", "eid", *rest).withColumn("h", F.xxhash64("k", "eid"))
+    return kept.join(cut, ["h", "k", "eid"]).drop("h")
 
 
 def _probe(pieces: DataFrame, faces: DataFrame, x: str, y: str) -> DataFrame:
-    """For each piece (`k`, `pid`) the faces covering its probe point: `in_a`, `in_b`."""
-    probes = stored(pieces.select("k", "pid", F.expr(x).alias("px"), F.expr(y).alias("py")).withColumn(
+    """For each piece (`h`, `k`, `pid`) the faces covering its probe point: `in_a`, `in_b`."""
+    probes = stored(pieces.select("h", "k", "pid", F.expr(x).alias("px"), F.expr(y).alias("py")).withColumn(
         "box", F.expr("named_struct('xmin', px, 'ymin', py, 'xmax', px, 'ymax', py)"),
     ))
     hits = overlapping_pairs(probes, faces, on=["k"]).filter(F.expr(geo.covered("r.segs", "l.px", "l.py")))
-    return hits.groupBy(F.col("l.k").alias("k"), F.col("l.pid").alias("pid")).agg(
+    return hits.groupBy(F.col("l.h").alias("h"), F.col("l.k").alias("k"), F.col("l.pid").alias("pid")).agg(
         F.expr("bool_or(r.side = 'a')").alias("in_a"), F.expr("bool_or(r.side = 'b')").alias("in_b"),
     )
 
@@ -175,7 +185,8 @@ def _edge_rows(faces: DataFrame) -> DataFrame:
 
 
 def _labelled_pieces(faces: DataFrame, inverse: str) -> DataFrame:
-    return stored(_cut_edges(_edge_rows(faces), inverse).withColumn("pid", F.struct("eid", "seq")).drop("eid", "seq"))
+    pieces = _cut_edges(_edge_rows(faces), inverse).withColumn("pid", F.struct("eid", "seq")).drop("eid", "seq")
+    return stored(pieces.withColumn("h", F.xxhash64("k", "pid")))
 
 
 def union_parts(rows: DataFrame) -> DataFrame:
@@ -189,7 +200,7 @@ def union_edges(rows: DataFrame) -> DataFrame:
     pieces = _labelled_pieces(faces, inverse)
     right = noding.beside("e", -1)
     covered = _probe(pieces, faces, *right)
-    return pieces.join(covered, ["k", "pid"], "left_anti").select("k", "e")
+    return pieces.join(covered, ["h", "k", "pid"], "left_anti").select("k", "e")
 
 
 def difference_parts(rows: DataFrame) -> DataFrame:
@@ -200,7 +211,7 @@ def difference_parts(rows: DataFrame) -> DataFrame:
     lx, ly = noding.beside("e", 1)
     rx, ry = noding.beside("e", -1)
     x, y = (f"CASE WHEN side = 'a' THEN {a} ELSE {b} END" for a, b in ((lx, rx), (ly, ry)))
-    seen = pieces.join(_probe(pieces, faces, x, y), ["k", "pid"], "left")
+    seen = pieces.join(_probe(pieces, faces, x, y), ["h", "k", "pid"], "left")
     kept = seen.filter("coalesce(in_a, false) AND NOT coalesce(in_b, false)").select("k", F.expr(
         "CASE WHEN side = 'a' THEN e ELSE named_struct('x1', e.x2, 'y1', e.y2, 'x2', e.x1, 'y2', e.y1) END"
     ).alias("e"))
@@ -212,9 +223,9 @@ def even_odd_parts(rows: DataFrame) -> DataFrame:
     number of times."""
     faces, inverse = _faces(rows.withColumn("side", F.lit("a")))
     pieces = _labelled_pieces(faces, inverse)
-    left = _probe(pieces, faces, *noding.beside("e", 1)).select("k", "pid", F.lit(True).alias("inl"))
-    right = _probe(pieces, faces, *noding.beside("e", -1)).select("k", "pid", F.lit(True).alias("inr"))
-    seen = pieces.join(left, ["k", "pid"], "left").join(right, ["k", "pid"], "left").selectExpr(
+    left = _probe(pieces, faces, *noding.beside("e", 1)).select("h", "k", "pid", F.lit(True).alias("inl"))
+    right = _probe(pieces, faces, *noding.beside("e", -1)).select("h", "k", "pid", F.lit(True).alias("inr"))
+    seen = pieces.join(left, ["h", "k", "pid"], "left").join(right, ["h", "k", "pid"], "left").selectExpr(
         "k", "e", "coalesce(inl, false) AS inl", "coalesce(inr, false) AS inr",
     )
     kept = seen.filter("inl <> inr").select("k", F.expr(
