@@ -26,6 +26,8 @@ HOT_CELL_ROWS = 20_000
 # Rows of both sides of a pair join per task, and the fewest worth a task of their own.
 ROWS_PER_TASK = 100_000
 LEAST_ROWS_PER_TASK = 500
+# Rows from which a table in too few files is spread over more before its cells are made.
+SPREAD_ROWS = 50_000
 
 
 _own_folders: dict[str, str] = {}
@@ -106,8 +108,7 @@ def overlapping_pairs(
 
     # What is done with a row or pair costs far more than its bytes tell: tasks are cut by rows.
     tasks = _tasks(left.sparkSession, l_rows + r_rows)
-    if tasks > 1:
-        lv, rv = (df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, "box") for df in (lv, rv))
+    lv, rv = (_spread(df, rows, tasks) for df, rows in ((lv, l_rows), (rv, r_rows)))
     lc = packed(_with_cells(lv, 0, r_levels, strict=True), l_cols, "l")
     rc = packed(_with_cells(rv, 1, l_levels, strict=False), r_cols, "r")
     by = ["at"]
@@ -126,6 +127,14 @@ def overlapping_pairs(
     )).select("l", "r")
 
 
+def _spread(df: DataFrame, rows: int, tasks: int) -> DataFrame:
+    """A large table lying in few files, in as many as there are tasks for it. (Written, not
+    just repartitioned: below an explode the optimizer then loses fields of its structs.)"""
+    if rows < SPREAD_ROWS or df.rdd.getNumPartitions() >= tasks:
+        return df
+    return stored(df.repartition(tasks, "box"))
+
+
 def _tasks(spark: SparkSession, rows: int) -> int:
     """Tasks for a join of this many rows: enough for every core once there is work for them,
     and more as the rows grow."""

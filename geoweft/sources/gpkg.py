@@ -4,11 +4,10 @@ from __future__ import annotations
 import sqlite3
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql import types as T
 
 # ---- fixed values: GeoPackage column types and Spark's ----
 COLUMN_TYPES = {
-    "BOOLEAN": "boolean", "TINYINT": "short", "SMALLINT": "short", "MEDIUMINT": "int", "INT": "long", "INTEGER": "long",
+    "BOOLEAN": "boolean", "TINYINT": "smallint", "SMALLINT": "smallint", "MEDIUMINT": "int", "INT": "bigint", "INTEGER": "bigint",
     "FLOAT": "double", "DOUBLE": "double", "REAL": "double", "BLOB": "binary",
 }
 # -----------------------------------------------------------
@@ -38,13 +37,11 @@ class GeoPackageSource(DataSource):
 
     def schema(self):
         _, geom, cols, _, _ = self._layout()
-        fields = [T.StructField("__rowid", T.LongType())]
+        fields = ["__rowid BIGINT"]
         for name, kind in cols:
-            if name == geom:
-                fields.append(T.StructField("__blob", T.BinaryType()))
-            else:
-                fields.append(T.StructField(name, T._parse_datatype_string(COLUMN_TYPES.get(kind, "string"))))
-        return T.StructType(fields)
+            quoted = "`" + name.replace("`", "``") + "`"
+            fields.append("__blob BINARY" if name == geom else f"{quoted} {COLUMN_TYPES.get(kind, 'string')}")
+        return ", ".join(fields)
 
     def reader(self, schema):
         table, geom, cols, low, high = self._layout()
