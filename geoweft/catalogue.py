@@ -808,7 +808,7 @@ def json_records_source(spark, sf):
 @query(f"""
 SELECT p_partkey, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS a, x0 AS west, round(sqrt(2) * (x1 - x0), 6) AS diagonal, p_name LIKE '%ring%' AS ringed FROM {PARTS}""")
 def sql_functions(spark, sf):
-    dialect.register(spark)
+    dialect.register(spark, "ST_Area ST_XMin ST_YMin ST_XMax ST_YMax ST_Distance ST_Point regexp_matches")
     return parts(spark, sf, "p_name").selectExpr(
         "p_partkey", "ST_Area(geom) AS a", "CAST(ST_XMin(geom) AS BIGINT) AS west",
         "round(ST_Distance(ST_Point(ST_XMin(geom), ST_YMin(geom)), ST_Point(ST_XMax(geom), ST_YMax(geom))), 6) AS diagonal",

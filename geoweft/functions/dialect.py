@@ -3,6 +3,8 @@
 They are temporary SQL functions, so Catalyst inlines them: no Python runs for them."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from . import codes, crs, noding
@@ -150,17 +152,14 @@ def transform_sql(g: str, source: str, target: str) -> str:
     return crs.transform(g, source, target)
 
 
-_registered: set[int] = set()
-
-
-def register(spark: SparkSession) -> SparkSession:
-    """Define the functions in a session, once."""
-    key = id(spark._jsparkSession) if hasattr(spark, "_jsparkSession") else id(spark)
-    if key in _registered and spark.catalog.functionExists("st_area"):
-        return spark
-    for name, (params, result, body) in {**_geometry_functions(), **_sql_functions()}.items():
+def register(spark: SparkSession, used_in: str | None = None) -> SparkSession:
+    """Define the functions in a session: all of them, or those a text of expressions names."""
+    wanted = {**_geometry_functions(), **_sql_functions()}
+    if used_in is not None:
+        words = set(re.findall(r"\w+", used_in.lower()))
+        wanted = {n: f for n, f in wanted.items() if n in words}
+    for name, (params, result, body) in wanted.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
-    _registered.add(key)
     return spark
 
 

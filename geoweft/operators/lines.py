@@ -12,7 +12,7 @@ from ..functions.text import let
 from ..functions.wkb import PART_ARROW
 from .aggregates import Aggregate, aggregate_column
 from .chains import broken_cycles, ranked
-from .grid import grown, overlapping_pairs, shapes, stored
+from .grid import geometry_id, grown, overlapping_pairs, shapes, stored
 from .joins import ROW, free_names
 
 # ---- fixed values: how close counts as meeting, and as running along (cosine) ----
@@ -33,6 +33,14 @@ def _line_parts(rows: DataFrame) -> DataFrame:
     ).select(ROW, F.concat(ROW, F.array(F.col("pno").cast("bigint"))).alias("lid"), F.expr("part.rings[0]").alias("ring"))
 
 
+def _line_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Line parts as references (`part_row`, `lid`) and the distinct lines they refer to
+    (`lid`, `ring`): copies of a line are cut once. Leaving a line's copies out of what cuts
+    it changes nothing, as they meet along its whole length."""
+    parts = stored(_line_parts(rows).select(ROW, F.col("lid").alias("part_row"), geometry_id(F.col("ring")).alias("lid"), "ring"))
+    return parts.select(ROW, "part_row", "lid"), stored(parts.select("lid", "ring").distinct())
+
+
 def _line_segments(parts: DataFrame) -> DataFrame:
     """Segments of line parts with where they start along their line: `lid`, `e`, `run`, `size`."""
     segs = parts.select("lid", F.posexplode(F.expr(geo.ring_segments("ring", "1"))).alias("pos", "e")).withColumn(
@@ -109,13 +117,15 @@ def _stretch(ring: str) -> str:
     return geo.line(f"CASE WHEN {whole} THEN {ring} ELSE {geo.substring(ring, 'lo / total', 'hi / total')} END")
 
 
-def _with_pieces(df: DataFrame, parts: DataFrame, totals: DataFrame, pieces: DataFrame, extra: list[str] = []) -> DataFrame:
+def _with_pieces(
+    df: DataFrame, parts: DataFrame, distinct: DataFrame, totals: DataFrame, pieces: DataFrame, extra: list[str] = [],
+) -> DataFrame:
     """The rows of `df` with each line part replaced by its pieces; other rows as they are."""
     numbered = pieces.withColumn("n", F.expr("row_number() OVER (PARTITION BY lid ORDER BY lo)").cast("bigint"))
-    cut = (
-        parts.join(totals, "lid").join(numbered, "lid")
-        .select(F.col(ROW).alias("__row"), F.concat("lid", F.array("n")).alias("__new_row"), F.expr(_stretch("ring")).alias("__geom"), *extra)
+    shaped = stored(
+        distinct.join(totals, "lid").join(numbered, "lid").select("lid", "n", F.expr(_stretch("ring")).alias("__geom"), *extra)
     )
+    cut = parts.withColumnRenamed(ROW, "__row").join(shaped, "lid").withColumn("__new_row", F.concat("part_row", F.array("n"))).drop("lid", "part_row", "n")
     lines = df.join(cut, F.col(ROW) == F.col("__row")).drop("__row", ROW, "geom").withColumnsRenamed(
         {"__new_row": ROW, "__geom": "geom"})
     # a line of no length has no pieces, and passes through as what isn't a line does
@@ -125,8 +135,8 @@ def _with_pieces(df: DataFrame, parts: DataFrame, totals: DataFrame, pieces: Dat
 
 def split_lines(df: DataFrame, source: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
     df = stored(df)
-    parts = _line_parts(df)
-    segs = _line_segments(parts)
+    parts, distinct = _line_copies(df)
+    segs = _line_segments(distinct)
     totals = stored(_totals(segs).filter("total > 0"))
     if source is None:
         cutters = segs.select(F.col("lid").alias("oid"), "e", "box")
@@ -145,9 +155,9 @@ def split_lines(df: DataFrame, source: DataFrame | None = None, tolerance: float
     merged = _islands(spans, ["lid", "oid"], EXACT).groupBy("lid", "oid", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     marks = merged.select("lid", F.explode(F.array("lo", "hi")).alias("at"))
     if tolerance is not None:
-        marks = marks.unionByName(_near_ends(segs, parts if source is None else source, source is None, tolerance))
+        marks = marks.unionByName(_near_ends(segs, distinct if source is None else source, source is None, tolerance))
     pieces = _pieces(marks, totals, tolerance if tolerance is not None else EXACT)
-    return _with_pieces(df, parts, totals, pieces)
+    return _with_pieces(df, parts, distinct, totals, pieces)
 
 
 def _near_ends(segs: DataFrame, cutters: DataFrame, own: bool, tolerance: float) -> DataFrame:
@@ -177,12 +187,13 @@ def line_overlay(df: DataFrame, source: DataFrame, fields: dict[str, str], toler
     tol = tolerance if tolerance is not None else EXACT
     df = stored(df)
     names = free_names(df, fields)
-    parts = _line_parts(df)
-    segs = _line_segments(parts)
+    parts, distinct = _line_copies(df)
+    segs = _line_segments(distinct)
     totals = stored(_totals(segs).filter("total > 0"))
     guides = stored(
-        source.select(F.col(ROW).alias("b_row"), F.explode(F.expr(geo.segments("geom"))).alias("e"))
-        .withColumn("box", F.expr(SEG_BOX))
+        source.filter("size(geom.parts) > 0").select(geometry_id(F.col("geom")).alias("g"), "geom", ROW)
+        .groupBy("g").agg(F.min(ROW).alias("b_row"), F.first("geom").alias("geom"))  # of copies, the first row counts
+        .select("b_row", F.explode(F.expr(geo.segments("geom"))).alias("e")).withColumn("box", F.expr(SEG_BOX))
     )
     wide = segs.withColumn("box", F.expr(grown("box", f"{tol!r}D")))
     along = (
@@ -213,7 +224,7 @@ def line_overlay(df: DataFrame, source: DataFrame, fields: dict[str, str], toler
     )
     pulled = source.select(F.col(ROW).alias("b_row"), *[F.col(c).alias(f"__f_{i}") for i, c in enumerate(fields.values())])
     extra = [f"__f_{i}" for i in range(len(fields))]
-    result = _with_pieces(df, parts, totals, joined.join(pulled, "b_row", "left").drop("b_row"), extra)
+    result = _with_pieces(df, parts, distinct, totals, joined.join(pulled, "b_row", "left").drop("b_row"), extra)
     return result.withColumnsRenamed({f"__f_{i}": names[out] for i, out in enumerate(fields)})
 
 
