@@ -34,11 +34,14 @@ _own_folders: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder the cluster names (one of our own where it names none,
-    as in tests)."""
+    """A new path in the shared folder the cluster names. Only where driver and executors are
+    one process may it be missing: then a folder of our own does."""
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folders[app] = tempfile.mkdtemp(prefix="geoweft-")
     return f"{folder.rstrip('/')}/geoweft/{app}/{uuid.uuid4().hex}"
 
