@@ -41,8 +41,9 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, rest: Column) -> DataFr
     """Every row with the hash of its whole text, `whole`, where the rounds before it found
     another row of the same length and prefix (elsewhere null)."""
     light = stored(_measured(docs, id_col, text_col, F.lit(None)).select("length", "prefix"))
-    lengths = light.groupBy("length").count().filter("count > 1").select("length")
-    groups = light.join(lengths, "length", "left_semi").groupBy("length", "prefix").count().filter("count > 1")
+    lengths = stored(bitmap(light.groupBy("length").count().filter("count > 1"), F.xxhash64("length")))
+    some = flagged(light, F.xxhash64("length"), lengths, "met").filter("met")
+    groups = some.groupBy("length", "prefix").count().filter("count > 1")
     bits = stored(bitmap(groups, F.xxhash64("length", "prefix")))
     rows = flagged(_measured(docs, id_col, text_col, rest), F.xxhash64("length", "prefix"), bits, "shared")
     return rows.select("id", "points", "rest", F.when(F.col("shared"), F.sha2("body", 256)).alias("whole"))
