@@ -37,15 +37,15 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(*sums)  # a row per partition, whatever the table's size
     offsets = totals.select(
-        "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
+        "part", F.sum("bytes").over(Window.partitionBy()).alias("bytes_in_all"),
+        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
     )
-    whole = ranged.agg(F.sum("size").alias("bytes_in_all"))
     within = Window.partitionBy("part").orderBy(*order)
     placed = stored(
         ranged.withColumn("sum_here", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("row_here", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), "part").join(F.broadcast(whole))
+        .join(F.broadcast(offsets), "part")
         .select(
             "id", "size", "text_crc32", (F.col("rows_before") + F.col("row_here")).alias("place"),
             # a row goes where its first byte is
