@@ -1,2 +1,9 @@
 """Operators for preparing training data: filters, deduplication, decontamination, sharding,
 language and quality models, tokenisation, secret scans and chat formatting."""
+from pyspark import cloudpickle
+
+from . import arrow, bpe, decontaminate, language, near_dedup, quality, words
+
+# What tasks run travels with the job, so the executors need no install.
+for _module in (arrow, bpe, decontaminate, language, near_dedup, quality, words):
+    cloudpickle.register_pickle_by_value(_module)

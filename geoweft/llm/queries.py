@@ -2,12 +2,21 @@
 columns of its contract from what the operator returns."""
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, sharding
+from . import bpe, decontaminate, exact_dedup, language, near_dedup, quality, secrets, sharding
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +65,61 @@ def op9_secrets(spark, sf):
     return secrets.scan(table(spark, sf, "documents")).withColumn("text_spans", spans).select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2("text_spans", 256).alias("base_sha256"), F.col("text_spans").alias("spans"),
     )
+
+
+def _remainder(column: str, by: int):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
+
+
+@query()
+def op2_decontamination(spark, sf):
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
+@query()
+def op3_near_dedup(spark, sf):
+    return near_dedup.near_dedup(table(spark, sf, "documents"))
+
+
+@query()
+def op6_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    rest = _remainder("doc_id", 4)
+    profiles = language.train(docs.filter(rest != 2))
+    return language.identify(docs, profiles, F.col("doc_id"), (rest == 2).alias("held_out"))
+
+
+def _digests(batches, ranks):
+    """doc_id, number and digest of the ids, and the bytes they stand for."""
+    pieces = bpe.byte_table(ranks.value)
+    for batch in bpe.id_slices(batches):
+        lists = batch.column("ids")
+        flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
+        digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
+        back = [hashlib.sha256(b).hexdigest() for b in bpe.decoded(lists, *pieces)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(digests), pa.array(back)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encoded_and_decoded(docs):
+    """Token counts and digests of all texts, by the multilingual vocabulary."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return ids.mapInArrow(partial(_digests, ranks=sent), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query()
+def op7_bpe(spark, sf):
+    return encoded_and_decoded(table(spark, sf, "documents"))
+
+
+@query()
+def op8_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    rest = _remainder("doc_id", 5)
+    model = quality.train(docs, table(spark, sf, "labels"), "quality", rest != 0)
+    scored = quality.score(docs, model, F.col("doc_id"), (rest == 0).alias("held_out"))
+    return scored.withColumn("predicted", F.expr("CAST(score >= 0.3 AS INT)"))
