@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, near_dedup, quality, secrets, sharding
+from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, secrets, sharding, url_filter
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,6 +36,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# The rules of the specification.
+URL_RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+
+
+@query(r"""
+WITH rules(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+cut AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT p.*, r.rule, r.verdict FROM parts p LEFT JOIN rules r
+  ON ends_with('.' || p.host, '.' || split_part(r.rule, '/', 1)) AND starts_with(p.path, substring(r.rule, position('/' IN r.rule))))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+FROM fits GROUP BY page_id, host, path
+""")
+def op1_url_filter(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.filter_urls(table(spark, sf, "pages"), rules)
+
+
 @query()
 def op4_sharding(spark, sf):
     shards = sharding.shard_by_bytes(table(spark, sf, "documents"), 8)
@@ -123,3 +147,19 @@ def op8_quality(spark, sf):
     model = quality.train(docs, table(spark, sf, "labels"), "quality", rest != 0)
     scored = quality.score(docs, model, F.col("doc_id"), (rest == 0).alias("held_out"))
     return scored.withColumn("predicted", F.expr("CAST(score >= 0.3 AS INT)"))
+
+
+@query()
+def op10_chat(spark, sf):
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.windows(turns))
+    parts = F.array_sort(F.collect_list(F.struct("window", "turns", "loss")))
+    # the digests are over whole conversations, so a conversation's text meets in one row
+    whole = read.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"), parts.alias("parts"))
+    turns_text, loss = (F.array_join(F.transform("parts", lambda p: p[c]), "") for c in ("turns", "loss"))
+    return whole.withColumn("turns_text", turns_text).withColumn("loss_text", loss).select(
+        "conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
