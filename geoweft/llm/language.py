@@ -41,15 +41,15 @@ def _is_letter() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """All n-grams of a text as numbers: up to three code points of 21 bits, a blank being 0."""
+    """All n-grams of a text as numbers: up to three code points of 21 bits, a blank being 1."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    codes = np.where(_is_letter()[codes], codes, 0) if len(codes) else codes
-    codes = np.concatenate([[0], codes, [0]])
-    codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]  # a blank between words
+    letter = _is_letter()[codes] if len(codes) else np.zeros(0, bool)
+    codes = np.concatenate([[1], np.where(letter, codes, 1), [1]])
+    codes = codes[(codes != 1) | np.concatenate([[True], codes[:-1] != 1])]  # one blank between words
     two = codes[:-1] | (codes[1:] << 21)
     three = two[:-1] | (codes[2:] << 42)
-    # those of blanks only, or with a blank in the middle, tell nothing
-    return np.concatenate([codes[codes != 0], two[two != 0], three[codes[1:-1] != 0]])
+    # a lone blank, or one in the middle, tells nothing
+    return np.concatenate([codes[codes != 1], two if len(codes) > 1 else two[:0], three[codes[1:-1] != 1]])
 
 
 def top(text: str) -> np.ndarray:

@@ -69,7 +69,7 @@ def _thrown(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, reach: np.
         ranks = np.cumsum(gaps, axis=1) + rank[:, None]
         hit = ranks < most[:, None]
         going = hit[:, -1]
-        if (level > 0).any():
+        if (top < 2 * width - 1).any():  # some elements end within their column
             more = mix(names + U(1))
             height = (width[:, None] - 1) + width[:, None] * ((more >> U(11)).astype(np.float64) * 2.0 ** -53)
             hit &= height < top[:, None]

@@ -63,8 +63,8 @@ def keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 def _places(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
     """HASHES places in a filter of `size` bits for each of the (first, second) hashes."""
-    first = mix(hashes[:, 0] + U(level) * _LEVEL)
-    second = mix(hashes[:, 1] ^ (U(level) * _GOLD)) | U(1)
+    first = mix(hashes[:, 0] + np.array([level], U) * _LEVEL)
+    second = mix(hashes[:, 1] ^ (np.array([level], U) * _GOLD)) | U(1)
     return ((first[:, None] + np.arange(HASHES, dtype=U)[None, :] * second[:, None]) % U(size)).astype(np.int64)
 
 
