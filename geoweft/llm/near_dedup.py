@@ -13,10 +13,11 @@ a probability equal to their similarity. Only darts up to the rank at which all
 expected to be hit are thrown, and twice as far for documents that miss one.
 
 Joins: texts with the same words are one node. Nodes that agree in all rows of a band share a
-bucket. In the first round each bucket's members are compared with its least node, so a bucket
-of copies, however large, takes one comparison a member. Buckets whose members are in one
-class by then are done; in the others the members in different classes meet more pivots
-from round to round until every such pair has been compared. Each comparison is exact.
+bucket. First each bucket's members are compared with its most central node (the one whose
+buckets hold most), so a bucket of copies, however large, takes one comparison a member. Buckets
+whose members are in one class by then are done; in the others the members of different classes
+are compared with each other. Pairs whose signatures differ too much are left out by the join
+itself; each comparison of the others is exact.
 
 Defined cases: texts without words (null and empty ones too) are classes of their own; null
 ids come last within a class; of repeated rows one stays; an empty table gives no rows; further
@@ -42,11 +43,9 @@ THRESHOLD = 0.8
 # A pair of similarity 0.8 shares no band with a probability of 0.0002.
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
-# Pairs whose signatures agree in less than this share aren't compared: six standard
-# deviations below the threshold.
-LEAST_AGREEMENT = 0.65
-# Pivots a bucket has in the rounds after the first, growing by this factor.
-MORE_PIVOTS = 8
+# Two bits of every coordinate are kept to tell far pairs from near ones. Of a pair of similarity
+# 0.8 an expected 38 of them differ; more than 60 do with a probability of 0.0001.
+PACKED, MOST_DIFFERENT = -(-COORDINATES // 32), 60
 
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -68,7 +67,7 @@ def _thrown(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, reach: np.
         gaps = -np.log(((names >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / width[:, None]
         ranks = np.cumsum(gaps, axis=1) + rank[:, None]
         hit = ranks < most[:, None]
-        going = hit[:, -1]
+        going = hit[:, -1].copy()
         if (top < 2 * width - 1).any():  # some elements end within their column
             more = mix(names + U(1))
             height = (width[:, None] - 1) + width[:, None] * ((more >> U(11)).astype(np.float64) * 2.0 ** -53)
@@ -105,7 +104,7 @@ def signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: i
     return sig.reshape(docs, COORDINATES)
 
 
-SIGNED = "id long, row_no long, node binary, sig binary, bands array<long>"
+SIGNED = "id long, row_no long, node binary, sig array<long>, bands array<long>"
 
 
 def _signed(batches):
@@ -120,12 +119,18 @@ def _signed(batches):
         bands = np.zeros((n, BANDS), U)
         for j in range(ROWS):
             bands = mix(bands + sig[:, j::ROWS] + U(j))
-        short = (mix(sig) & U(0xFF)).astype(np.uint8)
-        own = lambda rows: pa.array([r.tobytes() if s else None for r, s in zip(rows, some)], pa.binary())
-        offsets = pa.array(np.where(some, 1, 0).cumsum() * BANDS, pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), offsets])
-        lists = pa.ListArray.from_arrays(offsets, pa.array(bands[some].view(np.int64).ravel()), mask=pa.array(~some))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_no"), own(names), own(short), lists], ["id", "row_no", "node", "sig", "bands"])
+        short = np.zeros((n, PACKED * 32), U)
+        short[:, :COORDINATES] = mix(sig) & U(3)
+        short = (short.reshape(n, PACKED, 32) << (2 * np.arange(32, dtype=U))).sum(axis=2, dtype=U)
+        node = pa.array([r.tobytes() if s else None for r, s in zip(names, some)], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("row_no"), node, _rows(short, some), _rows(bands, some)], ["id", "row_no", "node", "sig", "bands"])
+
+
+def _rows(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """Rows of numbers as lists, nulls where there is none."""
+    offsets = np.concatenate([[0], np.cumsum(np.where(some, values.shape[1], 0))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[some].view(np.int64).ravel()), mask=pa.array(~some))
 
 
 def _sides(batch: pa.RecordBatch, column: str):
@@ -148,11 +153,10 @@ def _compared(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
-def _agreeing(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("a_sig", "b_sig"))
-        keep = pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+def _close(a: str, b: str) -> str:
+    """Whether at most MOST_DIFFERENT of two signatures' coordinates differ."""
+    differing = " + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & {0x5555555555555555}L)" for i in range(PACKED))
+    return f"{differing} <= {MOST_DIFFERENT}"
 
 
 class _Corpus:
@@ -165,45 +169,53 @@ class _Corpus:
         self.nodes = stored(worded.groupBy("node").agg(
             F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
         ))
-        in_band = self.nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-        filled = in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-        self.members = stored(in_band.join(filled, "bucket"))
+        in_band = self.nodes.select("node", "sig", F.posexplode("bands").alias("band", "value")).select(
+            "node", "sig", F.xxhash64("band", "value").alias("bucket"))
+        filled = stored(in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        # nearly all buckets hold one node: most of those are left out before the rest is shuffled
+        bits = stored(bitmap(filled, F.col("bucket")))
+        shared = stored(flagged(in_band, F.col("bucket"), bits, "met").filter("met").select("node", "sig", "bucket").join(filled, "bucket"))
+        # How central a node is: what near copies were made from meets more of them than they meet
+        # of each other, so compared with it first they fall into one class.
+        weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+        self.members = stored(shared.drop("n").join(weight, "node"))
+        self._text: DataFrame | None = None
+
+    def texts(self) -> DataFrame:
+        """(node, text) of all nodes that share a bucket. Only rows whose id may be theirs are
+        shuffled; a text of another node with the same id is told apart when it is compared."""
+        if self._text is None:
+            ids = stored(self.members.select("node").distinct().join(self.nodes.select("node", F.xxhash64("id").alias("key")), "node"))
+            bits = stored(bitmap(ids, F.col("key")))
+            found = flagged(self.docs.withColumn("key", F.xxhash64("id")), F.col("key"), bits, "asked").filter("asked").select("key", "text")
+            # copies of a text are left out where they are; other texts of the same id stay
+            once_each = found.join(ids, "key").groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+            self._text = stored(once_each.select("node", "text"))
+        return self._text
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar enough, compared by their whole texts."""
-        sigs = self.nodes.select("node", "sig")
-        close = stored(
-            pairs.distinct().join(sigs.toDF("a", "a_sig"), "a").join(sigs.toDF("b", "b_sig"), "b").mapInArrow(_agreeing, "a binary, b binary")
-        )
-        # Their texts: only rows whose id may be asked for are shuffled; a text of another node
-        # that shares the id is told apart when the pair is compared.
-        asked = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-        ids = stored(asked.join(self.nodes.select("node", F.xxhash64("id").alias("key")), "node"))
-        bits = stored(bitmap(ids, F.col("key")))
-        found = flagged(self.docs.withColumn("key", F.xxhash64("id")), F.col("key"), bits, "asked").filter("asked").select("key", "text").distinct()
-        with_text = stored(ids.join(found, "key").select("node", "text"))
-        both = close.join(with_text.toDF("b", "b_text"), "b").join(with_text.toDF("a", "a_text"), "a")
+        texts = self.texts()
+        both = stored(pairs.distinct()).join(texts.toDF("b", "b_text"), "b").join(texts.toDF("a", "a_text"), "a")
         return both.select("a", "b", "a_text", "b_text").mapInArrow(_compared, "a binary, b binary")
 
     def labels(self) -> DataFrame:
         """(node, label) of all nodes that have a link."""
-        edges = stored(self.similar(self.members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))))
-        label, pivots = components(edges), MORE_PIVOTS
-        while True:
-            state = self.members.join(label, "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
-            mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-            open_ = stored(state.join(mixed, "bucket").withColumn("draw", F.expr("pmod(xxhash64(node, bucket), 1000000007) / 1000000007D")))
-            # `draw` names the same pivots in every round, and more of them from round to round
-            pivot = open_.filter(f"draw < {pivots} / n").select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"))
-            met = pivot.join(open_, "bucket").filter("a_label != label AND a != node")
-            pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            new = stored(self.similar(pairs))
-            if not new.isEmpty():
-                edges = stored(edges.union(new))
-                label = components(edges)
-            if open_.filter(f"n > {pivots}").isEmpty():
-                return label
-            pivots *= MORE_PIVOTS
+        ordered = F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
+        top = self.members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "sig")).alias("top")).select("bucket", "top.*")
+        star = top.alias("l").join(self.members.alias("r"), F.expr(f"l.bucket = r.bucket AND l.node != r.node AND {_close('l.sig', 'r.sig')}"))
+        label = components(stored(self.similar(star.select(*ordered))))
+        state = self.members.drop("weight").join(label, "node", "left").select("bucket", "node", "sig", F.coalesce("label", "node").alias("label"))
+        mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
+        rest = stored(state.join(mixed, "bucket"))
+        across = rest.alias("l").join(rest.alias("r"), F.expr(f"l.bucket = r.bucket AND l.node < r.node AND l.label != r.label AND {_close('l.sig', 'r.sig')}"))
+        new = stored(self.similar(across.select(*ordered)))
+        # what is linked already counts as one node: only the new links are followed
+        of_a, of_b = (label.toDF(c, f"{c}_label") for c in ("a", "b"))
+        joint = new.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        further = components(stored(joint.filter("a != b"))).toDF("label", "lower")
+        every = label.unionByName(further.select(F.col("label").alias("node"), "label").join(label, "node", "left_anti"))
+        return every.join(further, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
 
     def decisions(self) -> DataFrame:
         """id, row_no, node, class_id, class_size, kept for every row."""
