@@ -1,14 +1,29 @@
 """Arrow batches in slices of bounded text."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Where a Python worker keeps what its tasks share: modules that travel with a job are new in
+# every task, the worker's process isn't.
+_KEPT = "_geoweft_kept"
+
+
+def once(name: Hashable, make: Callable):
+    """What `make` gives, made once in each process for a name."""
+    kept = sys.modules.setdefault(_KEPT, ModuleType(_KEPT)).__dict__.setdefault("made", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 # Bytes of text that a slice holds at most, unless a single text is longer.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

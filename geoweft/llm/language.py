@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrow import slices, texts
+from .arrow import once, slices, texts
 
 # n-grams of a profile, of a language as well as of a document.
 PROFILE = 300
@@ -30,14 +30,13 @@ UNKNOWN = "und"
 # Parts each language's counts are ranked in before the parts' best are ranked together.
 RANKED_IN = 8
 
-_letters: list[np.ndarray] = []
+def _letter_table() -> np.ndarray:
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def _is_letter() -> np.ndarray:
-    """Of each code point whether it is a letter; made once a process."""
-    if not _letters:
-        _letters.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
-    return _letters[0]
+    """Of each code point whether it is a letter."""
+    return once("letters", _letter_table)
 
 
 def ngrams(text: str) -> np.ndarray:

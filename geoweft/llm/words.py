@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .arrow import once
+
 U = np.uint64
 _STEP, _PAIR = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
@@ -28,17 +30,16 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_table: list[np.ndarray] = []
+def _word_table() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    for run in re.finditer(r"\w+", "".join(map(chr, range(0x110000)))):
+        table[run.start():run.end()] = True
+    return table
 
 
 def _is_word() -> np.ndarray:
-    """Of each code point whether it belongs to words; made once a process."""
-    if not _table:
-        table = np.zeros(0x110000, bool)
-        for run in re.finditer(r"\w+", "".join(map(chr, range(0x110000)))):
-            table[run.start():run.end()] = True
-        _table.append(table)
-    return _table[0]
+    """Of each code point whether it belongs to words."""
+    return once("words", _word_table)
 
 
 @dataclass
