@@ -109,8 +109,8 @@ def test_stitching_equals_the_library(chunk, overlap):
         for at in range(0, max(len(text), 1), chunk):
             cut = text[at:at + chunk + overlap]
             found, packed = encoder.pieces(cut)
-            windows.append((cut, np.cumsum([len(p) for p in found], dtype=np.int64), np.cumsum([len(i) // 4 for i in packed], dtype=np.int64), b"".join(packed)))
-        got = np.frombuffer(bpe.stitched(windows, encoder, chunk, overlap), "<u4").tolist()
+            windows.append((cut, len(cut), np.cumsum([len(p) for p in found], dtype=np.int64), np.cumsum([len(i) // 4 for i in packed], dtype=np.int64), b"".join(packed)))
+        got = np.frombuffer(bpe.stitched(windows, encoder, chunk), "<u4").tolist()
         assert got == ids(text), text[:60]
 
 
@@ -120,12 +120,14 @@ def test_merges_of_long_runs_equal_short_ones(monkeypatch):
     short = [bpe.merged(x, RANKS) for x in runs]
     monkeypatch.setattr(bpe, "SHORT", 0)
     assert [bpe.merged(x, RANKS) for x in runs] == short
+    together = bpe.merged_together(runs, bpe.Pairs(RANKS))
+    assert [np.frombuffer(x, "<u4").tolist() for x in together] == short and bpe.merged_together([], bpe.Pairs(RANKS)) == []
 
 
 def test_encode_and_decode(spark, odd, empty):
     rows = [(k, t, "c") for k, t in enumerate(TEXTS)] + [(0, "again", "c"), (None, None, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    for size in ({}, {"chunk": 50, "overlap": 10}):
+    for size in ({}, {"chunk": 50, "overlap": 10}, {"chunk": 50, "overlap": 10, "safe": None}):
         out = bpe.encode(df, RANKS, public_tokenizers.PATTERN, **size)
         assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == Counter((i, tuple(ids(t or ""))) for i, t, _ in rows)
         assert Counter((r.doc_id, bytes(r.decoded)) for r in bpe.decode(out, RANKS).collect()) == Counter((i, (t or "").encode()) for i, t, _ in rows)
