@@ -2,11 +2,15 @@
 
 The tables hold no geometry, so integer-valued shapes are derived from their keys, the same
 way on both sides: points of customers, suppliers and orders, boxes of parts, a 5 × 5 grid
-of nations, segments of orders."""
+of nations, segments of orders. Every thousand keys fill a square of their own, beside the
+one before, so shapes stay distinct and the map grows with the rows."""
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from .operators.joins import ROW
 from .plans import mapping, spec
 from .sources import read_source, sinks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the stand-in service below
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -51,15 +57,19 @@ def as_double(sql: str) -> str:
     return f"CAST({sql} AS DOUBLE)"
 
 
+def east_of(k: str) -> str:
+    return f"{k} * 7919 % 1000 + {k} DIV 1000 * 1000"
+
+
 def point_of(k: str) -> str:
-    return geo.point(as_double(f"{k} * 7919 % 1000"), as_double(f"{k} * 104729 % 1000"))
+    return geo.point(as_double(east_of(k)), as_double(f"{k} * 104729 % 1000"))
 
 
 def box_of(x0: str, y0: str, w: str, h: str | None = None) -> str:
     return geo.box(as_double(x0), as_double(y0), as_double(f"{x0} + {w}"), as_double(f"{y0} + {h or w}"))
 
 
-PART_BOX = box_of("p_partkey * 13 % 990", "p_partkey * 29 % 990", "(5 + p_partkey % 20)")
+PART_BOX = box_of("p_partkey * 13 % 990 + p_partkey DIV 1000 * 1000", "p_partkey * 29 % 990", "(5 + p_partkey % 20)")
 NATION_CELL = box_of("n_nationkey % 5 * 200", "(n_nationkey DIV 5) * 200", "200")
 SUPPLIER_BOX = box_of("s_suppkey * 37 % 980", "s_suppkey * 53 % 980", "(10 + s_suppkey % 15)")
 ORDER_LINE = (
@@ -100,11 +110,11 @@ def supplier_boxes(spark, sf, *cols):
 
 
 # the same in SQL
-POINT = "{k} * 7919 % 1000 AS x, {k} * 104729 % 1000 AS y"
-PARTS = "(SELECT *, p_partkey * 13 % 990 AS x0, p_partkey * 29 % 990 AS y0, p_partkey * 13 % 990 + 5 + p_partkey % 20 AS x1, p_partkey * 29 % 990 + 5 + p_partkey % 20 AS y1 FROM part)"
+POINT = "{k} * 7919 % 1000 + {k} // 1000 * 1000 AS x, {k} * 104729 % 1000 AS y"
+PARTS = "(SELECT *, p_partkey * 13 % 990 + p_partkey // 1000 * 1000 AS x0, p_partkey * 29 % 990 AS y0, p_partkey * 13 % 990 + p_partkey // 1000 * 1000 + 5 + p_partkey % 20 AS x1, p_partkey * 29 % 990 + 5 + p_partkey % 20 AS y1 FROM part)"
 NATIONS = "(SELECT *, n_nationkey % 5 * 200 AS nx0, n_nationkey // 5 * 200 AS ny0, n_nationkey % 5 * 200 + 200 AS nx1, n_nationkey // 5 * 200 + 200 AS ny1 FROM nation)"
 SUPPLIERS = "(SELECT *, s_suppkey * 37 % 980 AS sx0, s_suppkey * 53 % 980 AS sy0, s_suppkey * 37 % 980 + 10 + s_suppkey % 15 AS sx1, s_suppkey * 53 % 980 + 10 + s_suppkey % 15 AS sy1 FROM supplier)"
-ORDERS = "(SELECT *, o_orderkey * 7919 % 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)"
+ORDERS = "(SELECT *, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)"
 OVERLAP = "greatest(0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0, least(y1, ny1) - greatest(y0, ny0))"
 
 
@@ -192,12 +202,11 @@ def map_cast_integers(spark, sf):
     return mapping.mapped(df, items, "EPSG:25833")
 
 
-@query("""
-SELECT count(*) AS n, min(num) AS lowest, max(num) AS highest, count(DISTINCT num) AS distinct_numbers
-FROM (SELECT row_number() OVER () AS num FROM lineitem)""")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS num FROM lineitem")
 def map_seq(spark, sf):
-    df = rows.seq(table(spark, sf, "lineitem", "l_orderkey"), "num")
-    return df.agg(F.count("*").alias("n"), F.min("num").alias("lowest"), F.max("num").alias("highest"), F.count_distinct("num").alias("distinct_numbers"))
+    df = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").withColumn(ROW, F.array("l_orderkey", F.col("l_linenumber").cast("long")))
+    items = spec.map_items([{"to": "l_orderkey", "from": "l_orderkey"}, {"to": "l_linenumber", "from": "l_linenumber"}, {"to": "num", "func": "seq"}], "mapping")
+    return mapping.mapped(df, items, "EPSG:25833").select("l_orderkey", "l_linenumber", F.col("num").cast("long").alias("num"))
 
 
 @query("""
@@ -229,9 +238,10 @@ def attribute_join_summarize(spark, sf):
     return df.select("c_custkey", "n", "total", "priorities")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def attribute_join_rejects(spark, sf):
-    df = joins.attribute_join(customers(spark, sf), orders(spark, sf, "o_custkey"), "c_custkey", "o_custkey", {})
+    pending = orders(spark, sf, "o_custkey", "o_orderstatus").filter("o_orderstatus = 'P'")
+    df = joins.attribute_join(customers(spark, sf), pending, "c_custkey", "o_custkey", {})
     return df.filter("NOT __matched").select("c_custkey")
 
 
@@ -400,7 +410,7 @@ def dissolve_aggregates(spark, sf):
 
 
 @query("""SELECT o_orderstatus AS status, CAST(count(DISTINCT (x, y)) AS BIGINT) AS dots FROM
-(SELECT o_orderstatus, o_orderkey * 7919 % 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders) GROUP BY o_orderstatus""")
+(SELECT o_orderstatus, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders) GROUP BY o_orderstatus""")
 def dissolve_points(spark, sf):
     df = polygons.dissolve(orders(spark, sf, "o_orderstatus"), ["o_orderstatus"], [])
     return df.select(F.col("o_orderstatus").alias("status"), F.expr("CAST(size(geom.parts) AS BIGINT)").alias("dots"))
@@ -532,7 +542,7 @@ def centroid_xy(spark, sf):
 
 @query("""
 SELECT o_orderkey, 'POINT (' || x || ' ' || y || ')' AS wkt, '{"type":"Point","coordinates":[' || x || '.0,' || y || '.0]}' AS geojson
-FROM (SELECT o_orderkey, o_orderkey * 7919 % 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)""")
+FROM (SELECT o_orderkey, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)""")
 def text_forms(spark, sf):
     return orders(spark, sf).select("o_orderkey", F.expr(text.as_wkt("geom")).alias("wkt"), F.expr(text.as_geojson("geom")).alias("geojson"))
 
@@ -668,14 +678,23 @@ def mgrs(spark, sf):
 
 # ---- enrichment, pipelines, sources ------------------------------------------
 
+def _answer(url: str, headers: dict, timeout: float):
+    """Stands for a service: what it knows of a user, an error for every seventh, no hit for every fifth."""
+    user = int(url.rsplit("=", 1)[1])
+    if user % 7 == 0:
+        return 404, b"", {}
+    return 200, json.dumps({"hits": [] if user % 5 == 0 else [{"who": {"name": f"user {user}", "group": user % 3}}]}).encode(), {}
+
+
 @query("""
-SELECT event_id, json_extract_string(body, '$.hits[0].k') AS k, event_type <> 'error' AND json_extract(body, '$.hits[0]') IS NOT NULL AS hit
-FROM (SELECT event_id, event_type, '{"hits": [' || props || ']}' AS body FROM events)""")
-def http_fields(spark, sf):
-    df = table(spark, sf, "events", "event_id", "event_type", "props").selectExpr(
-        "event_id", "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status", "'{\"hits\": [' || props || ']}' AS body")
-    values, hit = http.response_columns({"k": "k"}, "hits")
-    return df.select("event_id", F.expr(values["k"]).alias("k"), F.expr(hit).alias("hit"))
+SELECT event_id, CASE WHEN hit THEN 'user ' || user_id END AS name, CASE WHEN hit THEN CAST(user_id % 3 AS VARCHAR) END AS grp,
+  CASE WHEN user_id % 7 = 0 THEN 404 ELSE 200 END AS status, hit
+FROM (SELECT event_id, user_id, user_id % 7 <> 0 AND user_id % 5 <> 0 AS hit FROM events)""")
+def http_lookup(spark, sf):
+    step = {"url": "http://service/find?type=user&id={user_id}", "records": "hits", "fields": {"name": "who.name", "grp": "who.group"},
+            "status_field": "status", "max_rate": 1e9, "concurrency": 4}
+    out = http.http_lookup(table(spark, sf, "events", "event_id", "user_id"), step, scratch_path(spark), _answer)
+    return out.select("event_id", "name", "grp", "status", F.col("__matched").alias("hit"))
 
 
 @query("""
@@ -685,10 +704,10 @@ def http_request_urls(spark, sf):
     return df.select("c_custkey", F.expr(http.request_sql("https://example.org/find?q={q}", None, {"k": "c_custkey"})).alias("url"))
 
 
-def _pipeline(spark, frames: dict[str, DataFrame], base: str, steps: list[dict], items: list[dict] = [], **more) -> PipelineRun:
+def _pipeline(spark, frames: dict[str, DataFrame], base: str, steps: list[dict], items: list[dict] = [], source_crs: str = "EPSG:25833", **more) -> PipelineRun:
     made = spec.load({
         "name": "q", "working_crs": "EPSG:25833", "base": base, "steps": steps, "mapping": items, **more,
-        "sources": [{"id": n, "format": "parquet", "uri": n, "crs": "EPSG:25833", "make_valid": False} for n in frames],
+        "sources": [{"id": n, "format": "parquet", "uri": n, "crs": source_crs, "make_valid": False} for n in frames],
         "output": {"path": "unused.parquet", "layer": "out", "crs": "EPSG:25833"},
     })
     return PipelineRun(spark, made.pipelines[0], frames=frames)
@@ -706,7 +725,7 @@ def flagship(spark, sf) -> DataFrame:
     """Orders made points, matched to the part box around them, filtered and mapped."""
     base = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_totalprice").withColumn(ROW, F.array("o_orderkey"))
     run = _pipeline(spark, {"orders": base, "parts": parts(spark, sf, "p_name")}, "orders", [
-        {"type": "make_points", "x": "o_orderkey * 7919 % 1000", "y": "o_orderkey * 104729 % 1000", "crs": "EPSG:25833"},
+        {"type": "make_points", "x": east_of("o_orderkey"), "y": "o_orderkey * 104729 % 1000", "crs": "EPSG:25833"},
         {"type": "spatial_join", "source": "parts", "fields": {"part_name": "p_name"}, "rejects": "unplaced"},
         {"type": "filter", "where": "o_orderstatus <> 'P'"},
     ], [
@@ -742,13 +761,9 @@ def step_counts(spark, sf):
         {"type": "filter", "where": "c_acctbal > 0", "rejects": "poor"},
         {"type": "remove_duplicates", "by": ["c_nationkey", "c_mktsegment"]},
     ])
-    built = run.build()
-    stages = {"base": built.base, "filter": built.steps[1], "poor": built.rejects[1], "distinct": built.steps[2]}
-    out = None
-    for name, df in stages.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counted = run.counts()
+    stages = [("base", counted["base"]), ("filter", counted["steps"][1]), ("poor", counted["rejects"][1]), ("distinct", counted["steps"][2])]
+    return spark.createDataFrame(stages, "stage string, n long")
 
 
 @query(f"""
@@ -765,12 +780,59 @@ def derived_source_buffer(spark, sf):
     return run.layer(run.build().main, run.p.layers[0]).drop("geom")
 
 
-@query(f"""SELECT o_orderkey FROM {ORDERS} WHERE x BETWEEN 100 AND 300 AND y BETWEEN 200 AND 500""")
+# Places in longitude and latitude, and as Web Mercator metres.
+LONLAT = "SELECT o_orderkey, -30 + CAST(o_orderkey * 37 % 12000 AS DOUBLE) / 100 AS lon, -60 + CAST(o_orderkey * 91 % 12500 AS DOUBLE) / 100 AS lat FROM orders"
+MERCATOR_RADIUS = 6378137.0
+
+
+def lonlat(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders", "o_orderkey").selectExpr(
+        "o_orderkey", "-30 + CAST(o_orderkey * 37 % 12000 AS DOUBLE) / 100 AS lon", "-60 + CAST(o_orderkey * 91 % 12500 AS DOUBLE) / 100 AS lat",
+    ).withColumn(ROW, F.array("o_orderkey"))
+
+
+def _placed(spark, sf, items: list[dict]) -> PipelineRun:
+    """Orders made points from degrees, in a pipeline that works in Web Mercator."""
+    return _pipeline(spark, {"orders": lonlat(spark, sf)}, "orders", [{"type": "make_points", "x": "lon", "y": "lat"}], items, working_crs="EPSG:3857")
+
+
+@query(f"""
+SELECT o_orderkey, round({MERCATOR_RADIUS} * radians(lon), 3) AS east, round({MERCATOR_RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS north,
+  round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({LONLAT})""")
+def make_points_reprojected(spark, sf):
+    """make_points from degrees into another system, and the x, y, lon and lat functions back."""
+    items = [{"to": "o_orderkey", "from": "o_orderkey"}, *({"to": n, "func": f} for n, f in (("east", "x"), ("north", "y"), ("lon", "lon"), ("lat", "lat")))]
+    run = _placed(spark, sf, items)
+    out = run.layer(run.build().main, run.p.layers[0])
+    return out.select("o_orderkey", *(F.round(c, 3).alias(c) for c in ("east", "north")), *(F.round(c, 7).alias(c) for c in ("lon", "lat")))
+
+
+@query(f"SELECT o_orderkey FROM ({LONLAT}) WHERE lon BETWEEN -10.005 AND 20.005 AND lat BETWEEN 30.005 AND 55.005")
 def bbox_restriction(spark, sf):
-    run = _pipeline(spark, {"orders": orders(spark, sf)}, "orders", [])
-    window = geo.box("100D", "200D", "300D", "500D")
-    seen = text.let(geo.segments(window), lambda b: text.let(geo.segments("geom"), lambda a: geo.intersects(a, b)))
-    return run.build().main.filter(F.expr(seen)).select("o_orderkey")
+    """A longitude and latitude window over a base that is brought to metres."""
+    places = lonlat(spark, sf).withColumn("geom", F.expr(geo.point("lon", "lat")))
+    run = _pipeline(spark, {"orders": places}, "orders", [], source_crs="EPSG:4326", working_crs="EPSG:3857")
+    return run.build(bbox=(-10.005, 30.005, 20.005, 55.005)).main.select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate) AS y, 1 AS copies FROM orders")
+def parquet_partitioned_source(spark, sf):
+    """A table in folders of two columns, whose file names repeat: every row once, with a key of its own."""
+    path = scratch_path(spark)
+    rows = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").withColumn("y", F.year("o_orderdate")).drop("o_orderdate")
+    rows.repartition(2).write.partitionBy("o_orderstatus", "y").parquet(path)
+    back = read_source(spark, spec.source({"id": "orders", "format": "parquet", "uri": path, "geometry": False}))
+    keys = back.groupBy(ROW).agg(F.count("*").alias("copies"))
+    return back.join(keys, ROW).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("y").cast("long").alias("y"), "copies")
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS n FROM customer")
+def csv_file_order(spark, sf):
+    """CSV in several files: rows are numbered by file, then by their place in it."""
+    path = scratch_path(spark)
+    table(spark, sf, "customer", "c_custkey", "c_name").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).csv(path)
+    src = read_source(spark, spec.source({"id": "customers", "format": "csv", "uri": path}))
+    return rows.seq(src, "n").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"SELECT p_partkey, p_name, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM {PARTS}")
@@ -794,7 +856,7 @@ def geojson_source(spark, sf):
     path = scratch_path(spark)
     feature = f"""concat('{{"type":"Feature","properties":', to_json(struct(p_partkey)), ',"geometry":', {text.as_geojson('geom')}, '}}')"""
     parts(spark, sf).select(F.expr(feature).alias("value")).write.text(path)
-    src = spec.source({"id": "parts", "format": "geojson", "uri": path})
+    src = spec.source({"id": "parts", "format": "geojson", "uri": path, "lines": True})
     return read_source(spark, src).select("p_partkey", area())
 
 
@@ -802,7 +864,7 @@ def geojson_source(spark, sf):
 def json_records_source(spark, sf):
     path = scratch_path(spark)
     table(spark, sf, "events", "event_id", "props").selectExpr("to_json(struct(event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k)) AS value").write.text(path)
-    return read_source(spark, spec.source({"id": "events", "format": "json", "uri": path})).select("event_id", "k")
+    return read_source(spark, spec.source({"id": "events", "format": "json", "uri": path, "lines": True})).select("event_id", "k")
 
 
 @query(f"""

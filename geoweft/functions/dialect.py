@@ -147,11 +147,6 @@ def _sql_functions() -> dict[str, tuple[str, str, str]]:
     }
 
 
-# ST_Transform takes the CRS names as text, so each pair in use gets a function of its own.
-def transform_sql(g: str, source: str, target: str) -> str:
-    return crs.transform(g, source, target)
-
-
 def register(spark: SparkSession, used_in: str | None = None) -> SparkSession:
     """Define the functions in a session: all of them, or those a text of expressions names."""
     wanted = {**_geometry_functions(), **_sql_functions()}
@@ -163,4 +158,4 @@ def register(spark: SparkSession, used_in: str | None = None) -> SparkSession:
     return spark
 
 
-__all__ = ["register", "transform_sql", "noding"]
+__all__ = ["register", "noding"]

@@ -117,6 +117,16 @@ def polygons_from_edges(edges: pa.Array) -> pa.Array:
     return result
 
 
+def simple_loops(loops: pa.Array) -> list[list[list[dict]]]:
+    """Per row: a closed walk along edges to the rings it touches itself in, without vertices
+    on straight runs; the same as for edges that are followed within a row."""
+    result = []
+    for walk in loops.to_pylist():
+        rings = [_straight(r) for r in _split_at_repeats([(v["x"], v["y"]) for v in walk])]
+        result.append([[{"x": x, "y": y, "z": None} for x, y in r] for r in rings if len(r) > 2])
+    return result
+
+
 def keep_by_distance(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas–Peucker: which vertices of a line stay."""
     n = len(xs)
@@ -186,11 +196,12 @@ def _crosses_itself(rings) -> bool:
 
 
 def simplify_part(part: dict, tolerance: float) -> dict:
-    """One part's rings thinned; a polygon that would cross itself is tried with half the
-    tolerance, and left as it was in the end."""
+    """One part's rings thinned. For a polygon that would cross itself the tolerance is halved
+    until it doesn't, in the end to where only vertices on a straight line go."""
     if part["dim"] == 0:
         return part
-    for _ in range(8):
+    size = max((abs(c) for ring in part["rings"] for v in ring for c in (v["x"], v["y"])), default=0.0)
+    while True:
         rings = []
         for ring in part["rings"]:
             xs, ys = np.array([v["x"] for v in ring]), np.array([v["y"] for v in ring])
@@ -208,29 +219,9 @@ def simplify_part(part: dict, tolerance: float) -> dict:
                     for i in sorted(between, key=dist, reverse=True)[:4 - int(keep.sum())]:
                         keep[i] = True
             rings.append([v for v, k in zip(ring, keep) if k])
-        if part["dim"] == 1 or not _crosses_itself([[(v["x"], v["y"]) for v in r] for r in rings]):
+        if part["dim"] == 1 or tolerance <= size * 1e-15 or not _crosses_itself([[(v["x"], v["y"]) for v in r] for r in rings]):
             return {"dim": part["dim"], "rings": rings}
         tolerance /= 2
-    return part
-
-
-def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Convex hull, counter-clockwise (monotone chain)."""
-    pts = sorted(set(points))
-    if len(pts) < 3:
-        return pts
-
-    def half(seq):
-        chain = []
-        for p in seq:
-            while len(chain) > 1 and (
-                (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (p[0] - chain[-2][0]) * (chain[-1][1] - chain[-2][1])
-            ) <= 0:
-                chain.pop()
-            chain.append(p)
-        return chain[:-1]
-
-    return half(pts) + half(pts[::-1])
 
 
 VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])

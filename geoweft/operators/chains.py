@@ -5,10 +5,13 @@ chain of a million links takes twenty joins. Pointers of moving rows are all dif
 join key is ever hot."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
+from ..functions import kernels
 from .grid import overlapping_pairs, stored
 
 
@@ -47,6 +50,11 @@ def ranked(links: DataFrame) -> DataFrame:
     return state.select("id", F.col("ptr").alias("tail"), "rank")
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(geo.VERTEX_TYPE)))
+def _simple_loops(walks: pa.Array) -> pa.Array:
+    return pa.array(kernels.simple_loops(walks), pa.list_(pa.list_(kernels.VERTEX)))
+
+
 def closed_rings(edges: DataFrame) -> DataFrame:
     """Rings (`k`, `ring`, their signed `size`, …) from the directed edges (`k`, `e`) of large
     boundaries: shells are positive, holes negative."""
@@ -63,8 +71,9 @@ def closed_rings(edges: DataFrame) -> DataFrame:
         "transform(array_sort(collect_list(named_struct('r', -rank, 'x', id.e.x1, 'y', id.e.y1))), "
         "v -> named_struct('x', v.x, 'y', v.y, 'z', CAST(NULL AS DOUBLE)))"
     ).alias("v"))
+    loops = ring.select(F.col("tail.k").alias("k"), F.explode(_simple_loops("v")).alias("v"))
     return stored(
-        ring.select(F.col("tail.k").alias("k"), F.expr("concat(v, slice(v, 1, 1))").alias("ring"))
+        loops.select("k", F.expr("concat(v, slice(v, 1, 1))").alias("ring"))
         .withColumn("size", F.expr(f"{geo.ring_area2('ring')} / 2")).filter("size <> 0")
         .withColumn("g", F.expr(geo.polygon("array(ring)"))).withColumn("box", F.expr(geo.bbox("g")))
         .withColumn("rid", F.xxhash64("k", "ring")).withColumn("segs", F.expr(geo.segments("g"))).drop("g")

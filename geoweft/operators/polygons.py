@@ -309,14 +309,27 @@ def clean_coverage(df: DataFrame, snap_distance: float | None = None, max_gap_wi
     return joined.withColumn("geom", F.expr(f"CASE WHEN {was_polygon} THEN {as_kind} ELSE geom END")).select(*df.columns)
 
 
+def _lowest_reached(near: DataFrame) -> DataFrame:
+    """Of each vertex `v` the lowest one reached over any number of near pairs (`v`, `w`). Each
+    round takes the lowest among a vertex and its neighbours, and what that one has reached."""
+    found = stored(near.groupBy("v").agg(F.min("w").alias("to")))
+    while True:
+        seen = near.join(found.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("to").alias("to"))
+        further = found.select(F.col("v").alias("to"), F.col("to").alias("next"))
+        moved = stored(seen.join(further, "to").select("v", F.col("next").alias("to")))
+        if moved.join(found.withColumnRenamed("to", "was"), "v").filter("to <> was").isEmpty():
+            return moved
+        found = moved
+
+
 def _snapped(polys: DataFrame, snap: float) -> DataFrame:
-    """Every vertex moved to the lowest vertex within `snap`, then edges bent through the
-    vertices lying within `snap` of them."""
+    """Vertices that are within `snap` of each other, directly or over others, moved to the
+    lowest of them, then edges bent through the vertices lying within `snap` of them."""
     verts = polys.select(F.explode(F.expr(geo.vertices("geom"))).alias("v")).select("v.x", "v.y").distinct()
     boxed = stored(verts.withColumn("box", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))))
     wide = boxed.withColumn("box", F.expr(f"named_struct('xmin', x - {snap!r}D, 'ymin', y - {snap!r}D, 'xmax', x + {snap!r}D, 'ymax', y + {snap!r}D)"))
     near = overlapping_pairs(wide, boxed).filter(f"pow(l.x - r.x, 2) + pow(l.y - r.y, 2) <= {snap * snap!r}D")
-    moves = stored(near.groupBy("l.x", "l.y").agg(F.min(F.struct("r.x", "r.y")).alias("to")))
+    moves = _lowest_reached(stored(near.select(F.struct("l.x", "l.y").alias("v"), F.struct("r.x", "r.y").alias("w")))).select("v.x", "v.y", "to")
     rings = polys.select("row", F.posexplode("geom.parts").alias("p", "part")).select(
         "row", "p", F.posexplode("part.rings").alias("q", "ring"))
     points = rings.select("row", "p", "q", F.posexplode("ring").alias("i", "v")).select("row", "p", "q", "i", "v.x", "v.y")

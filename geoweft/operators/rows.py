@@ -85,13 +85,14 @@ def make_points(df: DataFrame, x: str, y: str, source_crs: str = "EPSG:4326", wo
 
 
 def seq(df: DataFrame, name: str) -> DataFrame:
-    """Rows numbered 1…n in partition order, by per-partition counts: nothing is gathered."""
+    """Rows numbered 1…n in row order: ranges of the order are counted, each range's rows are
+    numbered on their own and moved up by what lies before. No task holds more than a range."""
     from .grid import stored
 
-    placed = stored(df.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id()))
-    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: the running total of the ones before
-    offsets = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).drop("__n")
-    first = placed.groupBy("__pid").agg(F.min("__mid").alias("__low")).join(offsets, "__pid")
-    return placed.join(F.broadcast(first), "__pid").withColumn(name, F.expr("__before + __mid - __low + 1")).drop(
-        "__pid", "__mid", "__low", "__before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(parts, ROW).withColumn("__pid", F.spark_partition_id()))
+    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__pid").orderBy(ROW))
+    return placed.withColumn("__own", own).join(offsets, "__pid").withColumn(name, F.col("__before") + F.col("__own")).drop("__pid", "__own", "__before")

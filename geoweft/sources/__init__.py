@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import json
-import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,40 +34,54 @@ def read_source(spark: SparkSession, src, landing: str | None = None, fetch=None
 
 # ---- row keys ---------------------------------------------------------------
 
-def with_file_order(df: DataFrame) -> DataFrame:
-    """`__src_row` of a Parquet read: (file, in name order; row within it). Unlike a running
-    number it needs no pass over the data, and filters still reach the scan."""
+def with_file_order(df: DataFrame, rows_numbered: bool = True) -> DataFrame:
+    """`__src_row` of a read of files: (file in path order, place in the file). The place is
+    Parquet's row number; of text it is where the row's block begins and the row's number in
+    the task that reads it. No pass over the data is needed, and filters still reach the scan.
+
+    Files are told apart by their whole paths, as folders of a partitioned table repeat their
+    names. The list of paths, which the driver holds for any read, is joined as a table."""
+    own = [F.col(geo.quote(c)) for c in df.columns]
+    place = [F.col("_metadata.row_index")] if rows_numbered else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    keyed = df.select(*own, F.input_file_name().alias("__file"), F.array(*place).alias("__place"))
     files = sorted(set(df.inputFiles()))
-    cols = df.columns
-    keyed = df.select(*[F.col(geo.quote(c)) for c in cols], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
     if len(files) < 2:
-        return keyed.withColumn(ROW, F.array(F.lit(0).cast("bigint"), F.col("__index"))).drop("__file", "__index")
-    # a table of file names: Spark broadcasts it when it is small
-    names = df.sparkSession.createDataFrame([(f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], "__name string, __n long")
-    short = F.concat_ws("/", F.element_at(F.split("__file", "/"), -2), F.element_at(F.split("__file", "/"), -1))
-    return (
-        keyed.withColumn("__name", short).join(names, "__name", "left")
-        .withColumn(ROW, F.array("__n", "__index")).drop("__file", "__index", "__name", "__n")
-    )
+        number = F.lit(0).cast("bigint")
+    else:
+        listed = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __n long")
+        keyed = keyed.join(listed, "__file", "left")
+        number = F.coalesce("__n", F.xxhash64("__file"))
+    return keyed.select(*own, F.concat(F.array(number), "__place").alias(ROW))
 
 
 # ---- parquet ----------------------------------------------------------------
 
-def geo_metadata(path: str) -> dict:
-    """The `geo` entry of a GeoParquet footer (or of the sidecar our sink leaves beside it)."""
-    import pyarrow.parquet as pq
-
-    first = path
-    if os.path.isdir(path):
-        sidecar = os.path.join(path, "_geo.json")
-        if os.path.exists(sidecar):
-            with open(sidecar, encoding="utf-8") as f:
-                return json.load(f)
-        first = next((os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".parquet")), None)
-    if first is None or not os.path.exists(first):
+def geo_metadata(spark: SparkSession, path: str) -> dict:
+    """The `geo` entry a GeoParquet sink left beside a layer, or else that of a file's footer;
+    both are read through the file system the data is on."""
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    if not fs.exists(top):
+        return {}
+    beside = jvm.org.apache.hadoop.fs.Path(top, "_geo.json")
+    if fs.exists(beside):
+        source = fs.open(beside)
+        try:
+            return json.loads(bytes(source.readAllBytes()).decode("utf-8"))
+        finally:
+            source.close()
+    files = sorted(f for f in spark.read.parquet(path).inputFiles())
+    if not files:
         return {}
-    meta = pq.read_schema(first).metadata or {}
-    return json.loads(meta[b"geo"]) if b"geo" in meta else {}
+    first = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(first)
+    try:
+        entry = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    return json.loads(entry) if entry else {}
 
 
 def geo_crs(meta: dict) -> str | None:
@@ -85,7 +99,10 @@ def read_parquet(spark: SparkSession, src, path: str) -> DataFrame:
     df = with_file_order(spark.read.parquet(path))
     if not src.has_geometry:
         return df
-    name = geo_metadata(path).get("primary_column") or next(
+    meta = geo_metadata(spark, path)
+    if not src.crs and geo_crs(meta):
+        warnings.warn(f"source '{src.id}' names no crs and is taken to be in the working CRS, but its file says {geo_crs(meta)}", stacklevel=2)
+    name = meta.get("primary_column") or next(
         (f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)), None)
     if name is None:
         return df
@@ -96,42 +113,27 @@ def read_parquet(spark: SparkSession, src, path: str) -> DataFrame:
 # ---- text tables ------------------------------------------------------------
 
 def read_csv(spark: SparkSession, src, path: str) -> DataFrame:
-    header = src.header_row
-    if header is None:
-        # a first row with a number in it is data
-        first = spark.read.csv(path).limit(1).collect()
-        header = not (first and any(_is_number(v) for v in first[0]))
-    df = spark.read.option("header", header).option("multiLine", False).option("escape", '"').csv(path)
+    """A first row of names unless `header_row` is false; columns then are field_1, field_2, …
+    With `lines` (the default for CSV) a row is a line, and large files are split; where quoted
+    values hold line breaks, `lines: false` reads each file as a whole."""
+    header = src.header_row is not False
+    df = spark.read.option("header", header).option("multiLine", src.lines is False).option("escape", '"').csv(path)
     if not header:
-        df = df.toDF(*[f"field_{i}" for i in range(1, len(df.columns) + 1)])
-    return with_table_geometry(df, src)
-
-
-def _is_number(value) -> bool:
-    try:
-        float(value)
-        return True
-    except (TypeError, ValueError):
-        return False
+        names = [f"field_{i}" for i in range(1, len(df.columns) + 1)]
+        df = df.withColumnsRenamed(dict(zip(df.columns, names)))
+    return with_table_geometry(with_file_order(df, rows_numbered=False), src)
 
 
 def read_json(spark: SparkSession, src, path: str) -> DataFrame:
-    lines = [r.value for r in spark.read.text(path).limit(2).collect()]
-    per_line = src.records is None and len(lines) > 0 and lines[0].lstrip().startswith("{") and _is_json(lines[0])
-    df = spark.read.option("multiLine", not per_line).json(path)
+    """A document per file (a list of records, or `records` inside it), or with `lines: true` a
+    record per line, which large files need to be split."""
+    df = with_file_order(spark.read.option("multiLine", not src.lines).json(path), rows_numbered=False)
     if src.records:
-        df = df.select(F.explode(F.col(".".join(geo.quote(p) for p in src.records.split(".")))).alias("r")).select("r.*")
+        inside = F.col(".".join(geo.quote(p) for p in src.records.split(".")))
+        df = df.select(ROW, F.posexplode(inside).alias("__pos", "r")).select("r.*", F.concat(ROW, F.array(F.col("__pos").cast("bigint"))).alias(ROW))
     return with_table_geometry(df, src)
 
 
-def _is_json(line: str) -> bool:
-    try:
-        json.loads(line)
-        return True
-    except ValueError:
-        return False
-
-
 def with_table_geometry(df: DataFrame, src) -> DataFrame:
     """`geom` built from the x/y or geometry column a table source names, which it replaces.
     Values that are no numbers or no geometry give a NULL one."""
@@ -160,10 +162,10 @@ def with_table_geometry(df: DataFrame, src) -> DataFrame:
 # ---- GeoJSON ----------------------------------------------------------------
 
 def read_geojson(spark: SparkSession, src, path: str) -> DataFrame:
-    """A FeatureCollection, or one feature per line. The properties' types are found over the
-    whole file; coordinates are handed over as text and decoded per geometry type."""
-    lines = [r.value for r in spark.read.text(path).limit(1).collect()]
-    per_line = bool(lines) and _is_json(lines[0]) and json.loads(lines[0]).get("type") == "Feature"
+    """A FeatureCollection per file, or with `lines: true` one feature per line. The properties'
+    types are found over the whole file; coordinates are handed over as text and decoded per
+    geometry type."""
+    per_line = bool(src.lines)
     reader = spark.read.option("multiLine", not per_line)
     seen = reader.json(path).schema
     feature = seen if per_line else (seen["features"].dataType.elementType if "features" in seen.names else T.StructType())
@@ -172,17 +174,16 @@ def read_geojson(spark: SparkSession, src, path: str) -> DataFrame:
         fields.append(feature["properties"])
     one = T.StructType(fields)
     schema = one if per_line else T.StructType([T.StructField("features", T.ArrayType(one))])
-    df = spark.read.option("multiLine", not per_line).schema(schema).json(path)
+    df = with_file_order(spark.read.option("multiLine", not per_line).schema(schema).json(path), rows_numbered=False)
     if not per_line:
-        df = df.select(F.posexplode("features").alias("__pos", "f")).select("f.*", F.array(F.col("__pos").cast("bigint")).alias(ROW))
+        df = df.select(ROW, F.posexplode("features").alias("__pos", "f")).select("f.*", F.concat(ROW, F.array(F.col("__pos").cast("bigint"))).alias(ROW))
     properties = ["properties.*"] if len(fields) > 1 else []
-    key = [ROW] if not per_line else []
     parts = f"flatten(transform(geometry.geometries, m -> {text.from_geojson_parts('m.type', 'm.coordinates')}.parts))"
     geom = (
         f"CASE WHEN geometry.type = 'GeometryCollection' THEN {geo._geometry(repr('GEOMETRYCOLLECTION'), parts)} "
         f"ELSE {text.from_geojson_parts('geometry.type', 'geometry.coordinates')} END"
     )
-    return df.select(*properties, *key, F.expr(geom).alias("geom"))
+    return df.select(*properties, ROW, F.expr(geom).alias("geom"))
 
 
 def _type(spark: SparkSession, ddl: str) -> T.DataType:
@@ -254,15 +255,19 @@ def gml_geometry(xml: str, lat_first: bool = False) -> str:
     return f"CASE {cases} END"
 
 
+# ---- fixed values: elements that hold the features of a GML document ----
+GML_MEMBERS = ("gml:featureMember", "wfs:member", "gml:featureMembers", "featureMember", "member", "featureMembers")
+# --------------------------------------------------------------------------
+
+
 def _first_member(spark: SparkSession, path: str) -> str:
-    """The element inside the first featureMember / member of a file."""
-    import re
-
-    head = "\n".join(r.value for r in spark.read.text(path).limit(200).collect())
-    m = re.search(r"<(?:\w+:)?(?:featureMembers?|member)\b[^>]*>\s*<([\w:.-]+)", head)
-    if not m:
-        raise ValueError(f"no feature members found in {path}; name the feature element as the source's layer")
-    return m[1]
+    """The element inside the documents' members, found by reading them as rows."""
+    for tag in GML_MEMBERS:
+        for f in spark.read.format("xml").option("rowTag", tag).load(path).schema.fields:
+            kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+            if isinstance(kind, T.StructType):
+                return f.name
+    raise ValueError(f"{path} has no feature members: say which element is a feature in the source's layer")
 
 
 # ---- GeoPackage and databases -----------------------------------------------

@@ -11,6 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
+from geoweft import catalogue
 
 
 def cell(v):
@@ -53,10 +54,10 @@ def compare(spark, sf, name):
 
 if __name__ == "__main__":
     sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.001'}"
-    names = sys.argv[2].split(",") if len(sys.argv) > 2 else list(entry.queries())
+    names = sys.argv[2].split(",") if len(sys.argv) > 2 else [n for n in entry.queries() if n in catalogue.QUERIES]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     for n in names:
