@@ -1,9 +1,10 @@
 """Near-duplicate classes by DartMinHash signatures and banded joins.
 
-Each document is the weighted set of its five-word shingles (weights are counts; a text of
-one to four words is one shingle). Similarity is the weighted Jaccard index: the sum of the
-smaller weights over the sum of the larger ones. Documents of a similarity of `THRESHOLD` or
-more are linked, and linked documents form a class.
+Each document is the weighted set of its five-word shingles (a text of one to four words is one
+shingle). Similarity is the weighted Jaccard index: the sum of the smaller weights over the sum
+of the larger ones. By default every distinct shingle weighs 1, so that a line repeated a
+hundred times in two documents doesn't make them alike; with `by_count` weights are counts.
+Documents of a similarity of `THRESHOLD` or more are linked, and linked documents form a class.
 
 Signature: the weight axis of every element is cut into dyadic columns; darts arrive in each
 column at random ranks, all drawn from hashes, so that equal regions receive equal darts in
@@ -26,6 +27,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +84,11 @@ def _thrown(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, reach: np.
         drawn, block = drawn + block, drawn + block
 
 
-def weighted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (element, document) with their counts."""
+def weighted(hashes: np.ndarray, doc: np.ndarray, by_count: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (element, document) with their weights."""
     key = mix(hashes + doc.astype(U) * U(0x9FB21C651E98DF25))
     _, at, counts = np.unique(key, return_index=True, return_counts=True)
-    return hashes[at], doc[at], counts.astype(np.float64)
+    return hashes[at], doc[at], counts.astype(np.float64) if by_count else np.ones(len(at))
 
 
 def signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
@@ -107,11 +109,11 @@ def signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: i
 SIGNED = "id long, row_no long, node binary, sig array<long>, bands array<long>"
 
 
-def _signed(batches):
+def _signed(batches, by_count):
     for batch in slices(batches):
         found = words(texts(batch))
         hashes, doc, _ = found.shingles(SHINGLE)
-        element, doc, weight = weighted(hashes, doc)
+        element, doc, weight = weighted(hashes, doc, by_count)
         n = batch.num_rows
         sig = signatures(element, doc, weight, n)
         some = np.diff(found.first) > 0
@@ -133,17 +135,17 @@ def _rows(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[some].view(np.int64).ravel()), mask=pa.array(~some))
 
 
-def _sides(batch: pa.RecordBatch, column: str):
+def _sides(batch: pa.RecordBatch, column: str, by_count: bool):
     found = words(texts(batch, column))
     hashes, doc, _ = found.shingles(SHINGLE)
-    return weighted(hashes, doc), found.whole()
+    return weighted(hashes, doc, by_count), found.whole()
 
 
-def _compared(batches):
+def _compared(batches, by_count):
     """(a, b) of the pairs of texts that are similar enough, and are the nodes they stand for."""
     for batch in slices(slices(batches, "a_text"), "b_text"):
-        (e1, d1, w1), n1 = _sides(batch, "a_text")
-        (e2, d2, w2), n2 = _sides(batch, "b_text")
+        (e1, d1, w1), n1 = _sides(batch, "a_text", by_count)
+        (e2, d2, w2), n2 = _sides(batch, "b_text", by_count)
         total = np.bincount(d1, w1, batch.num_rows) + np.bincount(d2, w2, batch.num_rows)
         k1, k2 = (mix(e + d.astype(U) * U(0x9FB21C651E98DF25)) for e, d in ((e1, d1), (e2, d2)))
         _, at1, at2 = np.intersect1d(k1, k2, assume_unique=True, return_indices=True)
@@ -162,19 +164,20 @@ def _close(a: str, b: str) -> str:
 class _Corpus:
     """What the rounds read again and again."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, by_count: bool):
+        self.by_count = by_count
         self.docs = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-        self.rows = stored(self.docs.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(_signed, SIGNED))
+        self.rows = stored(self.docs.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(partial(_signed, by_count=by_count), SIGNED))
         worded = self.rows.filter("node IS NOT NULL")
         self.nodes = stored(worded.groupBy("node").agg(
             F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
         ))
         in_band = self.nodes.select("node", "sig", F.posexplode("bands").alias("band", "value")).select(
-            "node", "sig", F.xxhash64("band", "value").alias("bucket"))
+            "node", "sig", "band", F.xxhash64("band", "value").alias("bucket"))
         filled = stored(in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         # nearly all buckets hold one node: most of those are left out before the rest is shuffled
         bits = stored(bitmap(filled, F.col("bucket")))
-        shared = stored(flagged(in_band, F.col("bucket"), bits, "met").filter("met").select("node", "sig", "bucket").join(filled, "bucket"))
+        shared = stored(flagged(in_band, F.col("bucket"), bits, "met").filter("met").select("node", "sig", "band", "bucket").join(filled, "bucket"))
         # How central a node is: what near copies were made from meets more of them than they meet
         # of each other, so compared with it first they fall into one class.
         weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -197,7 +200,7 @@ class _Corpus:
         """Those of the pairs (a, b) that are similar enough, compared by their whole texts."""
         texts = self.texts()
         both = stored(pairs.distinct()).join(texts.toDF("b", "b_text"), "b").join(texts.toDF("a", "a_text"), "a")
-        return both.select("a", "b", "a_text", "b_text").mapInArrow(_compared, "a binary, b binary")
+        return both.select("a", "b", "a_text", "b_text").mapInArrow(partial(_compared, by_count=self.by_count), "a binary, b binary")
 
     def labels(self) -> DataFrame:
         """(node, label) of all nodes that have a link."""
@@ -205,10 +208,14 @@ class _Corpus:
         top = self.members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "sig")).alias("top")).select("bucket", "top.*")
         star = top.alias("l").join(self.members.alias("r"), F.expr(f"l.bucket = r.bucket AND l.node != r.node AND {_close('l.sig', 'r.sig')}"))
         label = components(stored(self.similar(star.select(*ordered))))
-        state = self.members.drop("weight").join(label, "node", "left").select("bucket", "node", "sig", F.coalesce("label", "node").alias("label"))
+        state = self.members.drop("weight").join(label, "node", "left").select("bucket", "band", "node", "sig", F.coalesce("label", "node").alias("label"))
         mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-        rest = stored(state.join(mixed, "bucket"))
-        across = rest.alias("l").join(rest.alias("r"), F.expr(f"l.bucket = r.bucket AND l.node < r.node AND l.label != r.label AND {_close('l.sig', 'r.sig')}"))
+        short = F.transform("bands", lambda v: F.shiftright(v, 32).cast("int"))
+        rest = stored(state.join(mixed, "bucket").join(self.nodes.select("node", short.alias("bands")), "node"))
+        # a pair that shares several bands is met in the first of them
+        earlier = " OR ".join(f"(l.band > {i} AND l.bands[{i}] = r.bands[{i}])" for i in range(BANDS - 1))
+        across = rest.alias("l").join(rest.alias("r"), F.expr(
+            f"l.bucket = r.bucket AND l.node < r.node AND l.label != r.label AND {_close('l.sig', 'r.sig')} AND NOT ({earlier})"))
         new = stored(self.similar(across.select(*ordered)))
         # what is linked already counts as one node: only the new links are followed
         of_a, of_b = (label.toDF(c, f"{c}_label") for c in ("a", "b"))
@@ -232,9 +239,9 @@ class _Corpus:
         )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """A row per document: its id, class_id (the least id of its class), class_size, kept."""
-    return _Corpus(docs, id_col, text_col).decisions().select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+    return _Corpus(docs, id_col, text_col, by_count).decisions().select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def _named(batches):
@@ -244,10 +251,10 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "rest")), pa.array(names, pa.binary())], ["id", "key", "rest", "node"])
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """The documents that stay, one of each class, with all their columns. Only rows that may
     be dropped are shuffled."""
-    made = stored(_Corpus(docs, id_col, text_col).decisions())
+    made = stored(_Corpus(docs, id_col, text_col, by_count).decisions())
     key = F.xxhash64("id")
     dropped = made.filter("NOT kept").select(key.alias("key")).distinct()
     bits = stored(bitmap(dropped, F.col("key")))

@@ -14,14 +14,15 @@ from geoweft.llm.words import words
 from .conftest import odd_rows, prose
 
 
-def shingles(text):
+def shingles(text, by_count=False):
     w = re.findall(r"\w+", (text or "").lower())
-    return Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+    found = Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+    return found if by_count else Counter(set(found))
 
 
-def classes(rows):
+def classes(rows, by_count=False):
     """Places of the rows of each class."""
-    own = [shingles(t) for _, t in rows]
+    own = [shingles(t, by_count) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -35,8 +36,8 @@ def classes(rows):
     return [find(k) for k in range(len(rows))]
 
 
-def expected(rows):
-    label = classes(rows)
+def expected(rows, by_count=False):
+    label = classes(rows, by_count)
     first = {}
     for k, (i, _) in enumerate(rows):
         first[label[k]] = min(first.get(label[k], (True, 0)), (i is None, i or 0))
@@ -54,7 +55,7 @@ def mixed_rows():
     rows += [(100 + k, edited(prose(k % 5, 120), share, k)) for k, share in enumerate([0.01, 0.02, 0.03, 0.05, 0.08] * 8)]
     passage = prose(999, 90)
     rows += [(200 + k, passage + " " + prose(2000 + k, 10 + k)) for k in range(25)]  # near each other in varying degrees
-    return rows + [(300 + k, "again and again " * (30 + k)) for k in range(6)]
+    return rows + [(300 + k, "again and again " * (30 + k)) for k in range(6)] + [(320 + k, prose(3000 + k, 12) + " so it is so" * 60) for k in range(4)]
 
 
 def test_words_and_shingles():
@@ -89,11 +90,11 @@ def test_fractional_weights():
     assert abs((one[0] == one[1]).mean() - 0.5) < 0.15
 
 
-@pytest.mark.parametrize("rows", [mixed_rows(), [r[:2] for r in odd_rows()]], ids=["mixed", "odd"])
-def test_classes_equal_brute_force(spark, odd, rows):
+@pytest.mark.parametrize("rows, by_count", [(mixed_rows(), False), (mixed_rows(), True), ([r[:2] for r in odd_rows()], False)], ids=["mixed", "counts", "odd"])
+def test_classes_equal_brute_force(spark, odd, rows, by_count):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3) if len(rows) > 50 else odd
-    got = near_dedup.near_dedup(df).collect()
-    want, n = expected(rows)
+    got = near_dedup.near_dedup(df, by_count=by_count).collect()
+    want, n = expected(rows, by_count)
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want
     assert sum(r.kept for r in got) == n
 
