@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,23 @@ LEAST_ROWS_PER_TASK = 500
 SPREAD_ROWS = 50_000
 
 
+# Hot cells up to which their table may be broadcast.
+MOST_HOT_CELLS = 100_000
+
 _own_folders: dict[str, str] = {}
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables stored within are deleted at its end."""
+    _scopes.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark)).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        _scopes.pop()
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -43,7 +60,7 @@ def scratch_path(spark: SparkSession) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folders[app] = tempfile.mkdtemp(prefix="geoweft-")
-    return f"{folder.rstrip('/')}/geoweft/{app}/{uuid.uuid4().hex}"
+    return "/".join([folder.rstrip("/"), "geoweft", app, *_scopes, uuid.uuid4().hex])
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -149,9 +166,14 @@ def _deal_hot_cells(lc: DataFrame, rc: DataFrame):
     by = ["at"]
     ln = lc.groupBy(by).agg(F.count(F.lit(1)).alias("ln"))
     rn = rc.groupBy(by).agg(F.count(F.lit(1)).alias("rn"))
-    hot = ln.join(rn, by).filter((F.col("ln") > HOT_CELL_ROWS) | (F.col("rn") > HOT_CELL_ROWS)).select(
+    hot = stored(ln.join(rn, by).filter((F.col("ln") > HOT_CELL_ROWS) | (F.col("rn") > HOT_CELL_ROWS)).select(
         *by, F.ceil(F.col("ln") / HOT_CELL_ROWS).alias("ls"), F.ceil(F.col("rn") / HOT_CELL_ROWS).alias("rs"),
-    )
+    ))
+    cells = hot.count()
+    if not cells:
+        return lc, rc, by
+    if cells <= MOST_HOT_CELLS:  # otherwise the hot keys themselves would be shuffled before they are split
+        hot = F.broadcast(hot)
 
     def dealt(df, name, own, other, own_col, other_col):
         return (

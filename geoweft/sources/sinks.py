@@ -24,6 +24,20 @@ def layer_path(output: str, layer: str, several: bool) -> str:
     return f"{os.path.splitext(output)[0]}/{layer}.parquet" if several else output
 
 
+def drop_other_layers(spark: SparkSession, output: str, kept: set[str]) -> None:
+    """Delete the layers that an earlier run left beside those of this one: folders named as
+    layers are, finished by Spark."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(os.path.splitext(output)[0])
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = {os.path.basename(path) for path in kept}
+    for status in fs.listStatus(folder):
+        path = status.getPath()
+        if status.isDirectory() and path.getName().endswith(".parquet") and path.getName() not in names:
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                fs.delete(path, True)
+
+
 def geo_json(crs: str, kinds: list[str], bbox: list[float] | None) -> str:
     column = {
         "encoding": "WKB", "geometry_types": kinds,

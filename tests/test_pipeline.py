@@ -1,5 +1,6 @@
 """Specifications, mapping, sources, sinks and whole pipelines."""
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,11 @@ def test_a_pipeline_with_a_branch_runs_previews_and_counts(spark, tmp_path, geoj
     back = {n: read_source(spark, spec.source({"id": n, "format": "parquet", "uri": w["path"], "crs": "EPSG:25833"})) for n, w in written.items()}
     assert {r.name for r in back["out"].collect()} == set(taken) and "ship" not in back["free"].columns
     assert geo_crs(geo_metadata(spark, written["out"]["path"])) == "EPSG:25833" and geo_metadata(spark, str(tmp_path / "none")) == {}
+    folder = os.path.dirname(written["out"]["path"])
+    back["free"].drop("geom", "__src_row").write.parquet(f"{folder}/old.parquet")
+    os.mkdir(f"{folder}/mine.parquet")
+    geoweft.run(spark, cfg)
+    assert sorted(os.listdir(folder)) == ["free.parquet", "mine.parquet", "out.parquet"]  # no layer of an earlier run, nothing else touched
     run = sinks.list_runs(spark, str(tmp_path / "runs")).first()
     assert run.ok and {w["layer"] for w in sinks.get_run(spark, str(tmp_path / "runs"), run.id)["layers"]} == set(written)
 
