@@ -45,9 +45,10 @@ THRESHOLD = 0.8
 # A pair of similarity 0.8 shares no band with a probability of 0.0002.
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
-# Two bits of every coordinate are kept to tell far pairs from near ones. Of a pair of similarity
-# 0.8 an expected 38 of them differ; more than 60 do with a probability of 0.0001.
-PACKED, MOST_DIFFERENT = -(-COORDINATES // 32), 60
+# Four bits of every coordinate are kept to tell far pairs from near ones. Of a pair of similarity
+# 0.8 an expected 47 of them differ; more than 71 do with a probability of 0.0001.
+KEPT_BITS = 4
+PACKED, MOST_DIFFERENT = -(-COORDINATES // (64 // KEPT_BITS)), 71
 
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -121,9 +122,10 @@ def _signed(batches, by_count):
         bands = np.zeros((n, BANDS), U)
         for j in range(ROWS):
             bands = mix(bands + sig[:, j::ROWS] + U(j))
-        short = np.zeros((n, PACKED * 32), U)
-        short[:, :COORDINATES] = mix(sig) & U(3)
-        short = (short.reshape(n, PACKED, 32) << (2 * np.arange(32, dtype=U))).sum(axis=2, dtype=U)
+        each = 64 // KEPT_BITS
+        short = np.zeros((n, PACKED * each), U)
+        short[:, :COORDINATES] = mix(sig) & U((1 << KEPT_BITS) - 1)
+        short = (short.reshape(n, PACKED, each) << (U(KEPT_BITS) * np.arange(each, dtype=U))).sum(axis=2, dtype=U)
         node = pa.array([r.tobytes() if s else None for r, s in zip(names, some)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("row_no"), node, _rows(short, some), _rows(bands, some)], ["id", "row_no", "node", "sig", "bands"])
@@ -157,7 +159,13 @@ def _compared(batches, by_count):
 
 def _close(a: str, b: str) -> str:
     """Whether at most MOST_DIFFERENT of two signatures' coordinates differ."""
-    differing = " + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & {0x5555555555555555}L)" for i in range(PACKED))
+    ones = sum(1 << at for at in range(0, 64, KEPT_BITS))
+
+    def unlike(i: int) -> str:
+        folded = " | ".join(f"shiftrightunsigned({a}[{i}] ^ {b}[{i}], {k})" for k in range(KEPT_BITS))
+        return f"bit_count(({folded}) & {ones}L)"
+
+    differing = " + ".join(map(unlike, range(PACKED)))
     return f"{differing} <= {MOST_DIFFERENT}"
 
 
