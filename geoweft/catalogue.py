@@ -353,21 +353,19 @@ def intersect_overlay_area(spark, sf):
 
 
 CLIP = f"""
-WITH p AS {PARTS}, n AS (SELECT * FROM {NATIONS} WHERE n_regionkey < 3),
+WITH p AS {PARTS}, n AS (SELECT * FROM {NATIONS}),
 m AS (SELECT p_partkey, min(n_nationkey) AS nation FROM p JOIN n ON x0 <= nx1 AND x1 >= nx0 AND y0 <= ny1 AND y1 >= ny0 GROUP BY p_partkey),
 c AS (SELECT p.*, CAST(CASE WHEN nation IS NULL THEN 0 ELSE {OVERLAP} END AS DOUBLE) AS cut FROM p LEFT JOIN m USING (p_partkey) LEFT JOIN n ON n_nationkey = nation)"""
 
 
 @query(CLIP + " SELECT p_partkey, cut AS area FROM c WHERE cut > 0")
 def clip_area(spark, sf):
-    masks = nations(spark, sf, "n_regionkey").filter("n_regionkey < 3")
-    return polygons.clip(parts(spark, sf), masks).filter("__matched").select("p_partkey", area())
+    return polygons.clip(parts(spark, sf), nations(spark, sf)).filter("__matched").select("p_partkey", area())
 
 
 @query(CLIP + " SELECT p_partkey, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area FROM c WHERE cut = 0")
 def clip_rejects(spark, sf):
-    masks = nations(spark, sf, "n_regionkey").filter("n_regionkey < 3")
-    return polygons.clip(parts(spark, sf), masks).filter("NOT __matched").select("p_partkey", area())
+    return polygons.clip(parts(spark, sf), nations(spark, sf)).filter("NOT __matched").select("p_partkey", area())
 
 
 @query(f"""
@@ -609,10 +607,11 @@ def line_overlay_pieces(spark, sf):
 
 @query("""
 WITH k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey * 7 % 11 <> 0), i AS (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM k)
-SELECT min(k) AS first, count(*) AS members, CAST(count(*) AS DOUBLE) AS length FROM i GROUP BY island""")
+SELECT min(k) AS first, count(*) AS members, CAST(count(*) AS DOUBLE) AS length FROM i GROUP BY island
+UNION ALL SELECT c_custkey, 1, 1.0 FROM customer WHERE c_custkey * 7 % 11 = 0""")
 def combine_lines_chains(spark, sf):
-    links = keyed(table(spark, sf, "customer", "c_custkey").filter("c_custkey * 7 % 11 <> 0"), "c_custkey",
-                  geo.segment(as_double("c_custkey"), "0D", as_double("c_custkey + 1"), "0D"))
+    aside = "CASE WHEN c_custkey * 7 % 11 = 0 THEN 1D ELSE 0D END"  # every eleventh link lies beside the chain
+    links = keyed(table(spark, sf, "customer", "c_custkey"), "c_custkey", geo.segment(as_double("c_custkey"), aside, as_double("c_custkey + 1"), aside))
     df = lines.combine_lines(links, [], [Aggregate("first", "c_custkey", "min"), Aggregate("members", how="count")])
     return df.select("first", "members", F.expr(f"round({geo.length('geom')}, 6)").alias("length"))
 
