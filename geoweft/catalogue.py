@@ -477,9 +477,11 @@ def remove_duplicates(spark, sf):
     return df.filter("__matched").select("p_partkey", "p_type", "p_size")
 
 
-@query(f"""SELECT o_orderkey FROM {ORDERS} QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY o_orderkey) > 1""")
+@query("""SELECT o_orderkey FROM (SELECT *, o_orderkey * 7919 % 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)
+QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY o_orderkey) > 1""")
 def remove_duplicate_geometry_rejects(spark, sf):
-    return rows.remove_duplicates(orders(spark, sf), [], geometry=True).filter("NOT __matched").select("o_orderkey")
+    repeated = geo.point(as_double("o_orderkey * 7919 % 1000"), as_double("o_orderkey * 104729 % 1000"))  # every thousandth place is the same
+    return rows.remove_duplicates(keyed(table(spark, sf, "orders", "o_orderkey"), "o_orderkey", repeated), [], geometry=True).filter("NOT __matched").select("o_orderkey")
 
 
 @query("""
@@ -677,6 +679,16 @@ def mgrs(spark, sf):
 
 # ---- enrichment, pipelines, sources ------------------------------------------
 
+@query("""
+SELECT event_id, json_extract_string(body, '$.hits[0].k') AS k, event_type <> 'error' AND json_extract(body, '$.hits[0]') IS NOT NULL AS hit
+FROM (SELECT event_id, event_type, '{"hits": [' || props || ']}' AS body FROM events)""")
+def http_fields(spark, sf):
+    df = table(spark, sf, "events", "event_id", "event_type", "props").selectExpr(
+        "event_id", "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status", "'{\"hits\": [' || props || ']}' AS body")
+    values, hit = http.response_columns({"k": "k"}, "hits")
+    return df.select("event_id", F.expr(values["k"]).alias("k"), F.expr(hit).alias("hit"))
+
+
 def _answer(url: str, headers: dict, timeout: float):
     """Stands for a service: what it knows of a user, an error for every seventh, no hit for every fifth."""
     user = int(url.rsplit("=", 1)[1])
