@@ -23,7 +23,7 @@ def once(name: Hashable, make: Callable):
 
 
 # Bytes of text that a slice holds at most, unless a single text is longer.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
