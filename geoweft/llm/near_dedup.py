@@ -1,9 +1,8 @@
 """Near-duplicate classes by DartMinHash signatures and banded joins.
 
-Each document is the weighted set of its five-word shingles (a text of one to four words is one
-shingle). Similarity is the weighted Jaccard index: the sum of the smaller weights over the sum
-of the larger ones. By default every distinct shingle weighs 1, so that a line repeated a
-hundred times in two documents doesn't make them alike; with `by_count` weights are counts.
+Each document is the weighted set of its five-word shingles (weights are counts; a text of one
+to four words is one shingle). Similarity is the weighted Jaccard index: the sum of the smaller
+weights over the sum of the larger ones. With `by_count=False` every distinct shingle weighs 1.
 Documents of a similarity of `THRESHOLD` or more are linked, and linked documents form a class.
 
 Signature: the weight axis of every element is cut into dyadic columns; darts arrive in each
@@ -247,7 +246,7 @@ class _Corpus:
         )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = True) -> DataFrame:
     """A row per document: its id, class_id (the least id of its class), class_size, kept."""
     return _Corpus(docs, id_col, text_col, by_count).decisions().select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
@@ -259,7 +258,7 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "rest")), pa.array(names, pa.binary())], ["id", "key", "rest", "node"])
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_count: bool = True) -> DataFrame:
     """The documents that stay, one of each class, with all their columns. Only rows that may
     be dropped are shuffled."""
     made = stored(_Corpus(docs, id_col, text_col, by_count).decisions())

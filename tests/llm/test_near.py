@@ -7,7 +7,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from geoweft.llm import decontaminate, near_dedup
+import corpus_pipeline
+from geoweft.llm import decontaminate, near_dedup, queries
 from geoweft.llm.components import components
 from geoweft.llm.words import words
 
@@ -108,6 +109,17 @@ def test_dedup_keeps_one_of_each_class(odd):
     assert sum(r.text is None for r in rows) == 3  # texts without words are classes of their own
 
 
+def test_production_weighs_by_counts(spark, tmp_path):
+    rows = [(k, prose(3000 + k, 12) + " so it is so" * 60) for k in range(4)] + [(10 + k, prose(20 + k, 80)) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want, n = expected(rows, by_count=True)
+    assert n == 4 and expected(rows)[1] == 7
+    got = queries.QUERIES["op3_near_dedup"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, str(tmp_path)).collect()) == [0, 10, 11, 12]
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(100, 140)] + [(b"900", b"%03d" % i) for i in range(300, 360)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a binary, b binary")).collect()))
