@@ -143,6 +143,15 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: Column, te
     return _with_language(docs, profiles, text_col, keep).select("rest.*", "lang_pred", "score")
 
 
+def _lettered(batches):
+    for batch in slices(batches):
+        yield batch.filter(pa.array([len(ngrams(text)) > 0 for text in texts(batch)])).select(["rest"])
+
+
 def identified_only(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows in which a language was found, with the columns they came with."""
+    """The rows in which a language was found, with the columns they came with. Without
+    profiles none can be told, and all rows with a letter stay."""
+    if not profiles:
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), docs[text_col].cast("string").alias("text"))
+        return rows.mapInArrow(_lettered, rows.select("rest").schema).select("rest.*")
     return _with_language(docs, profiles, text_col, ()).filter(F.col("lang_pred") != UNKNOWN).select("rest.*")

@@ -57,6 +57,14 @@ def test_language_of_odd_rows(odd, empty):
     assert language.identify(empty, {"en": np.array([1])}, F.col("doc_id")).count() == 0
 
 
+def test_texts_with_a_letter_stay_without_training_texts(odd, empty):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    left = language.identified_only(docs, language.train(docs))
+    assert left.columns == docs.columns
+    assert Counter(r.text for r in left.collect()) == Counter(r[1] for r in odd_rows() if any(map(str.isalpha, r[1] or "")))
+    assert language.identified_only(empty, {}).count() == 0
+
+
 @data
 def test_language_of_held_out_rows(spark):
     out = queries.QUERIES["op6_language_id"](spark, SF).join(queries.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id")
