@@ -269,10 +269,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = flagged(rows.withColumn("key", key), F.col("key"), bits, "suspect")
     suspect = marked.filter("suspect").select("id", "key", "text", "rest")
     schema = suspect.select("id", "key", "rest", F.lit(None).cast("binary").alias("node")).schema
-    named = suspect.mapInArrow(_named, schema).filter("node IS NOT NULL")
-    none = suspect.filter("text IS NULL OR NOT rlike(text, '(?U)\\\\w')").select("rest")
+    # both branches go by the node: whether a text has words is told in one place only
+    named = suspect.mapInArrow(_named, schema)
+    none = named.filter("node IS NULL").select("rest")
     known = made.withColumn("key", key).join(dropped, "key").groupBy("key", "node").agg(F.max("kept").alias("stays"))
-    met = named.join(known, ["key", "node"], "left")
+    met = named.filter("node IS NOT NULL").join(known, ["key", "node"], "left")
     strange = met.filter("stays IS NULL").select("rest")
     # repeated rows of a document that stays: one is left
     keepers = met.filter("stays").groupBy("key", "node").agg(F.first("rest").alias("rest")).select("rest")

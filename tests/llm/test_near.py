@@ -109,6 +109,13 @@ def test_dedup_keeps_one_of_each_class(odd):
     assert sum(r.text is None for r in rows) == 3  # texts without words are classes of their own
 
 
+def test_dedup_of_texts_whose_words_java_and_python_tell_apart(spark):
+    # marks and connectors are no words here but are in Java's (?U)\\w; of a fraction it is the other way round
+    rows = [(1, prose(1, 30)), (2, prose(1, 30)), (2, "\u0301\u0301"), (2, "\u203f"), (1, "\u00bd"), (2, "\u00bd")]
+    left = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert Counter(map(tuple, left.collect())) == Counter(rows[k] for k in (0, 2, 3, 4))
+
+
 def test_production_weighs_by_counts(spark, tmp_path):
     rows = [(k, prose(3000 + k, 12) + " so it is so" * 60) for k in range(4)] + [(10 + k, prose(20 + k, 80)) for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
