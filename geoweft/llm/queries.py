@@ -149,17 +149,51 @@ def op8_quality(spark, sf):
     return scored.withColumn("predicted", F.expr("CAST(score >= 0.3 AS INT)"))
 
 
+COUNTED = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
+def _conversations(batches):
+    """Counts and digests of every conversation. Its windows come one after the other in their
+    order; of those before the batch only the counts and the state of the digests are kept."""
+    open_ = kind = None
+    done: list[tuple] = []
+
+    def ended(conv, n_turns, turns, loss_chars, loss, chars):
+        return conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+
+    def handed_on():
+        kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        out = pa.RecordBatch.from_arrays([pa.array(values, k) for values, k in zip(zip(*done), kinds)], COUNTED)
+        done.clear()
+        return out
+
+    for batch in batches:
+        kind = batch.column("conv_id").type
+        for conv, turns, n_turns, loss, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turns", "n_turns", "loss", "chars"))):
+            if open_ is None or open_[0] != conv:
+                if open_ is not None:
+                    done.append(ended(*open_))
+                open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            open_[1] += n_turns
+            open_[2].update(turns.encode())
+            open_[3] += len(loss)
+            open_[4].update(loss.encode())
+            open_[5] += chars
+        if done:
+            yield handed_on()
+    if open_ is not None:
+        done.append(ended(*open_))
+        yield handed_on()
+
+
 @query()
 def op10_chat(spark, sf):
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = chat.read_back(chat.windows(turns))
-    parts = F.array_sort(F.collect_list(F.struct("window", "turns", "loss")))
-    # the digests are over whole conversations, so a conversation's text meets in one row
-    whole = read.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"), parts.alias("parts"))
-    turns_text, loss = (F.array_join(F.transform("parts", lambda p: p[c]), "") for c in ("turns", "loss"))
-    return whole.withColumn("turns_text", turns_text).withColumn("loss_text", loss).select(
-        "conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
-    )
+    # a digest over a whole conversation takes its windows in order, in one task
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    kind = read.schema["conv_id"].dataType.simpleString()
+    return ordered.mapInArrow(
+        _conversations, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

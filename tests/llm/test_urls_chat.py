@@ -1,4 +1,5 @@
 """URL rules and chat windows against plain Python."""
+import hashlib
 import random
 from collections import Counter
 
@@ -96,6 +97,29 @@ def test_windows(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_digests_of_conversations(spark, tmp_path):
+    rows = conversations()
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # conversations go on from batch to batch
+    try:
+        out = queries.QUERIES["op10_chat"](spark, str(tmp_path))
+        got = {r.conv_id: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # only the pieces of a window are gathered in a row, never the windows of a conversation
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(piece" in plan and "collect_list(struct(window" not in plan
+    by = {-7: [(True, 0, "user", r"\### Assistant: </turn> ok"), (True, 1, "assistant", r"\### Assistant: </turn> ok")]}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        whole = "".join(f"{role}\n{text}\n" for *_, role, text in sorted(turns))
+        loss = "".join(text for *_, role, text in sorted(turns) if role == "assistant")
+        digests = [hashlib.sha256(t.encode()).hexdigest() for t in (whole, loss)]
+        assert [got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256] == [len(turns), digests[0], len(loss), digests[1]], c
+
+
 def test_escaping_is_reversible():
     for text in ["", "\\", "\\\\### </turn>", "### ### ", "a\\### b", "</turn></turn>", "\\### Assistant: </turn> ok", "<", "</turn", ":"]:
         assert chat.unescaped(chat.escaped(text)) == text
