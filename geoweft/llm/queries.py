@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, secrets, sharding, url_filter
+from . import bpe, chat, decontaminate, exact_dedup, fill_in_middle, language, licenses, near_dedup, quality, secrets, sharding, url_filter, whitening
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -197,3 +197,20 @@ def op10_chat(spark, sf):
     kind = read.schema["conv_id"].dataType.simpleString()
     return ordered.mapInArrow(
         _conversations, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query()
+def op11_whitening(spark, sf):
+    rows = whitening.whiten(table(spark, sf, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query()
+def op12_licenses(spark, sf):
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return licenses.scan(table(spark, sf, "documents")).withColumns(joined)
+
+
+@query()
+def op13_fill_in_middle(spark, sf):
+    return fill_in_middle.digests(table(spark, sf, "documents"))
