@@ -792,7 +792,7 @@ def derived_source_buffer(spark, sf):
 
 
 # Places in longitude and latitude, and as Web Mercator metres.
-LONLAT = "SELECT o_orderkey, -30 + CAST(o_orderkey * 37 % 12000 AS DOUBLE) / 100 AS lon, -60 + CAST(o_orderkey * 91 % 12500 AS DOUBLE) / 100 AS lat FROM orders"
+ORDER_LONLAT = "SELECT o_orderkey, -30 + CAST(o_orderkey * 37 % 12000 AS DOUBLE) / 100 AS lon, -60 + CAST(o_orderkey * 91 % 12500 AS DOUBLE) / 100 AS lat FROM orders"
 MERCATOR_RADIUS = 6378137.0
 
 
@@ -809,7 +809,7 @@ def _placed(spark, sf, items: list[dict]) -> PipelineRun:
 
 @query(f"""
 SELECT o_orderkey, round({MERCATOR_RADIUS} * radians(lon), 3) AS east, round({MERCATOR_RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS north,
-  round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({LONLAT})""")
+  round(lon, 7) AS lon, round(lat, 7) AS lat FROM ({ORDER_LONLAT})""")
 def make_points_reprojected(spark, sf):
     """make_points from degrees into another system, and the x, y, lon and lat functions back."""
     items = [{"to": "o_orderkey", "from": "o_orderkey"}, *({"to": n, "func": f} for n, f in (("east", "x"), ("north", "y"), ("lon", "lon"), ("lat", "lat")))]
@@ -818,7 +818,7 @@ def make_points_reprojected(spark, sf):
     return out.select("o_orderkey", *(F.round(c, 3).alias(c) for c in ("east", "north")), *(F.round(c, 7).alias(c) for c in ("lon", "lat")))
 
 
-@query(f"SELECT o_orderkey FROM ({LONLAT}) WHERE lon BETWEEN -10.005 AND 20.005 AND lat BETWEEN 30.005 AND 55.005")
+@query(f"SELECT o_orderkey FROM ({ORDER_LONLAT}) WHERE lon BETWEEN -10.005 AND 20.005 AND lat BETWEEN 30.005 AND 55.005")
 def bbox_restriction(spark, sf):
     """A longitude and latitude window over a base that is brought to metres."""
     places = lonlat(spark, sf).withColumn("geom", F.expr(geo.point("lon", "lat")))
