@@ -4,7 +4,7 @@ from __future__ import annotations
 import json
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,24 +34,48 @@ def read_source(spark: SparkSession, src, landing: str | None = None, fetch=None
 
 # ---- row keys ---------------------------------------------------------------
 
-def with_file_order(df: DataFrame, rows_numbered: bool = True) -> DataFrame:
-    """`__src_row` of a read of files: (file in path order, place in the file). The place is
-    Parquet's row number; of text it is where the row's block begins and the row's number in
-    the task that reads it. No pass over the data is needed, and filters still reach the scan.
+# Bytes of a path that one long of a row key holds, so that longs sort as the bytes do.
+PATH_BYTES = 7
+
+
+def _spelled(path: str) -> str:
+    """A path as Spark's metadata column spells it: `file:/`, where a listing has `file:///`."""
+    return path.replace(":///", ":/")
+
+
+def _beyond(a: bytes, b: bytes) -> int:
+    """Bytes up to and with the first that differs."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) + 1
+
 
-    Files are told apart by their whole paths, as folders of a partitioned table repeat their
-    names. The list of paths, which the driver holds for any read, is joined as a table."""
+def file_rank(files: list[str]) -> list[Column]:
+    """Longs that sort as the paths of the rows' files do: those bytes of a path that tell the
+    files of this read apart, taken from the metadata column. They are constants of a file, so
+    neither a join nor a pass over the rows is needed, and filters still reach the scan."""
+    paths = sorted({_spelled(f).encode() for f in files})
+    if len(paths) < 2:
+        return [F.lit(0).cast("bigint")]
+    start = _beyond(paths[0], paths[-1]) - 1
+    width = max(_beyond(a, b) for a, b in zip(paths, paths[1:])) - start
+    path = F.encode(F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")), "UTF-8")
+    # a path in another spelling would be ordered wrongly without a word
+    known = F.substring(path, 1, start) == F.lit(paths[0][:start])
+    def rank(at: int) -> Column:
+        some = F.substring(path, start + at + 1, min(PATH_BYTES, width - at))
+        return F.conv(F.rpad(F.hex(some), 2 * PATH_BYTES, F.lit("0")), 16, 10).cast("bigint")
+
+    first, *more = (rank(at) for at in range(0, width, PATH_BYTES))
+    unknown = F.raise_error(F.concat(F.lit("a file outside the source's listing: "), F.col("_metadata.file_path"))).cast("bigint")
+    return [F.when(known, first).otherwise(unknown), *more]
+
+
+def with_file_order(df: DataFrame, rows_numbered: bool = True) -> DataFrame:
+    """`__src_row` of a read of files: (the file's rank in path order, place in the file). The
+    place is Parquet's row number; of text it is where the row's block begins and the row's
+    number in the task that reads it."""
     own = [F.col(geo.quote(c)) for c in df.columns]
     place = [F.col("_metadata.row_index")] if rows_numbered else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-    keyed = df.select(*own, F.input_file_name().alias("__file"), F.array(*place).alias("__place"))
-    files = sorted(set(df.inputFiles()))
-    if len(files) < 2:
-        number = F.lit(0).cast("bigint")
-    else:
-        listed = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __n long")
-        keyed = keyed.join(listed, "__file", "left")
-        number = F.coalesce("__n", F.xxhash64("__file"))
-    return keyed.select(*own, F.concat(F.array(number), "__place").alias(ROW))
+    return df.select(*own, F.array(*file_rank(df.inputFiles()), *place).alias(ROW))
 
 
 # ---- parquet ----------------------------------------------------------------
