@@ -322,6 +322,32 @@ def nearest_bounded(spark, sf):
     return df.select("c_custkey", "supplier", F.round("dist", 6).alias("dist"))
 
 
+# A dense town, the country around it, and some far-off places: (x, y) of a key, in both languages.
+TOWN = (
+    "CASE WHEN {k} % 499 = 0 THEN 1000000 + {k} WHEN {k} % {share} = 1 THEN {k} * 7919 % 1000 ELSE 500 + {k} * 7919 % 10007 / 4096 END",
+    "CASE WHEN {k} % 499 = 0 THEN {k} % 1000 WHEN {k} % {share} = 1 THEN {k} * 104729 % 997 ELSE 500 + {k} * 104729 % 10009 / 4096 END",
+)
+
+
+def town_sql(k: str, share: int) -> str:
+    x, y = (c.format(k=k, share=share).replace("/ 4096", "/ 4096.0::DOUBLE") for c in TOWN)
+    return f"CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {town_sql('c_custkey', 2)} FROM customer), p AS (SELECT p_partkey, {town_sql('p_partkey', 9)} FROM part),
+d AS (SELECT c_custkey, p_partkey, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) AS d FROM c CROSS JOIN p)
+SELECT c_custkey, arg_min(p_partkey, (d, p_partkey)) AS part, round(min(d), 6) AS dist FROM d GROUP BY c_custkey""")
+def nearest_clustered(spark, sf):
+    """Most shapes in a town, some in the country around it, a few very far off."""
+    def placed(df, key, share):
+        return keyed(df, key, geo.point(*(as_double(c.format(k=key, share=share)) for c in TOWN)))
+
+    base = placed(table(spark, sf, "customer", "c_custkey"), "c_custkey", 2)
+    df = joins.nearest_neighbor(base, placed(table(spark, sf, "part", "p_partkey"), "p_partkey", 9), {"part": "p_partkey"}, distance_field="dist")
+    return df.select("c_custkey", "part", F.round("dist", 6).alias("dist"))
+
+
 @query(f"""
 WITH p AS {PARTS}, s AS (SELECT s_suppkey, {POINT.format(k='s_suppkey')} FROM supplier),
 d AS (SELECT p_partkey, s_suppkey, greatest(0, x0 - x, x - x1) AS dx, greatest(0, y0 - y, y - y1) AS dy FROM p CROSS JOIN s)

@@ -133,7 +133,7 @@ def overlapping_pairs(
     rc = packed(_with_cells(rv, 1, l_levels, strict=False), r_cols, "r")
     by = ["at"]
     if max(l_rows, r_rows) > HOT_CELL_ROWS:  # a row is in a cell once: else none can be hot
-        lc, rc, by = _deal_hot_cells(lc, rc)
+        lc, rc, by = deal_hot_cells(lc, rc)
     # Merged, never broadcast: the planner's sizes know nothing of the rows the cells add.
     joined = lc.repartition(tasks, *by).join(rc.repartition(tasks, *by).hint("merge"), by)
     size = "pow(2D, l_cell.level)"
@@ -161,8 +161,9 @@ def _tasks(spark: SparkSession, rows: int) -> int:
     return max(1, rows // ROWS_PER_TASK, min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS_PER_TASK))
 
 
-def _deal_hot_cells(lc: DataFrame, rc: DataFrame):
-    """Spread the rows of crowded cells over sub-groups both sides agree on."""
+def deal_hot_cells(lc: DataFrame, rc: DataFrame):
+    """Spread the rows of crowded cells over sub-groups both sides agree on: sides (`at`, struct
+    `l` or `r`), and the columns that they are to be joined by."""
     by = ["at"]
     ln = lc.groupBy(by).agg(F.count(F.lit(1)).alias("ln"))
     rn = rc.groupBy(by).agg(F.count(F.lit(1)).alias("rn"))

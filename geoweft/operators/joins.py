@@ -5,14 +5,13 @@ matches are found between distinct geometries and then joined back to the rows b
 id, so a third of all rows sharing one point costs that point once."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from .aggregates import Aggregate, aggregate_column
 from .grid import geometry_id, grown, overlapping_pairs, shapes, stored
+from .nearest import CellTree, candidates
 
 ROW = "__src_row"
 
@@ -154,12 +153,6 @@ def attribute_join(
 
 # ---- nearest ----------------------------------------------------------------
 
-# Source shapes a finest cell should hold on average, and how many halvings of the cell side
-# separate two levels of the pyramid.
-LEAF_SHAPES = 8
-STRIDE = 3
-
-
 def nearest_neighbor(
     base: DataFrame, source: DataFrame, fields: dict[str, str],
     max_distance: float | None = None, distance_field: str | None = None,
@@ -174,67 +167,15 @@ def nearest_neighbor(
 
 def nearest_shapes(left: DataFrame, right: DataFrame, max_distance: float | None = None) -> DataFrame:
     """(`id`, `best`, `dist`): for each left shape its closest right shape, ties to the lower
-    row.
-
-    A search down a pyramid of grid cells holding the right shapes. At every level each left
-    shape keeps the cells that could still hold its nearest one: no farther away (at their
-    closest) than the closest of its cells (at their farthest). Only the shapes of the cells
-    left at the bottom are measured, so neither a far-off cluster nor a dense one makes every
-    pair a candidate."""
-    spark = left.sparkSession
-    seen = right.agg(
-        F.count(F.lit(1)).alias("n"), F.min("box.xmin").alias("x0"), F.min("box.ymin").alias("y0"),
-        F.max("box.xmax").alias("x1"), F.max("box.ymax").alias("y1"),
-    ).first()
-    if not seen.n:
-        return spark.createDataFrame([], left.select("id").schema).select(
+    row."""
+    tree = CellTree(right)
+    if tree.members is None:
+        return left.sparkSession.createDataFrame([], left.select("id").schema).select(
             "id", F.lit(None).cast(right.schema["best"].dataType).alias("best"), F.lit(None).cast("double").alias("dist"),
         )
-    side = max(seen.x1 - seen.x0, seen.y1 - seen.y0, 1e-9)
-    depth = max(0, math.ceil(math.log(max(seen.n / LEAF_SHAPES, 1), 4)))
-    rungs = list(range(min(STRIDE, depth), depth, STRIDE)) + [depth]
-
-    def cell(level: int) -> Column:
-        size = side / 2**level
-        return F.expr(
-            f"named_struct('cx', CAST(floor(((box.xmin + box.xmax) / 2 - {seen.x0!r}D) / {size!r}D) AS BIGINT), "
-            f"'cy', CAST(floor(((box.ymin + box.ymax) / 2 - {seen.y0!r}D) / {size!r}D) AS BIGINT))"
-        )
-
-    def extent() -> Column:
-        return F.struct(
-            F.min("box.xmin").alias("xmin"), F.min("box.ymin").alias("ymin"),
-            F.max("box.xmax").alias("xmax"), F.max("box.ymax").alias("ymax"),
-        ).alias("cbox")
-
-    low = (
-        "sqrt(pow(greatest(0D, cbox.xmin - box.xmax, box.xmin - cbox.xmax), 2) + "
-        "pow(greatest(0D, cbox.ymin - box.ymax, box.ymin - cbox.ymax), 2))"
-    )
-    high = (
-        "sqrt(pow(greatest(cbox.xmax - box.xmin, box.xmax - cbox.xmin), 2) + "
-        "pow(greatest(cbox.ymax - box.ymin, box.ymax - cbox.ymin), 2))"
-    )
-    limit = "" if max_distance is None else f" AND low <= {float(max_distance)!r}D"
-    # the first rung has at most 4^STRIDE cells, so it is one small row held by every left shape
-    first = rungs[0]
-    top = right.groupBy(cell(first).alias("cell")).agg(extent()).agg(F.collect_list(F.struct("cell", "cbox"))).scalar()
-    state = left.select("id", "box", F.explode(top).alias("c")).select("id", "box", "c.cell", "c.cbox")
-    slack = "1.000000001D"
-    for here, below in zip(rungs, [*rungs[1:], None]):
-        state = state.withColumn("low", F.expr(low)).withColumn("high", F.expr(high))
-        bound = state.groupBy("id").agg(F.min("high").alias("reach"))
-        state = state.join(bound, "id").filter(F.expr(f"low <= reach * {slack}{limit}")).select("id", "box", "cell")
-        if below is not None:
-            children = right.groupBy(cell(here).alias("cell"), cell(below).alias("child")).agg(extent())
-            state = state.join(children, "cell").select("id", "box", F.col("child").alias("cell"), "cbox")
-    members = right.select(cell(rungs[-1]).alias("cell"), F.col("segs").alias("b"), "best", F.col("box").alias("cbox"))
-    near = (
-        state.join(members, "cell").withColumn("low", F.expr(low)).withColumn("high", F.expr(high))
-    )
-    reach = near.groupBy("id").agg(F.min("high").alias("reach"))
-    near = near.join(reach, "id").filter(F.expr(f"low <= reach * {slack}{limit}")).select("id", "b", "best")
-    measured = near.join(left.select("id", F.col("segs").alias("a")), "id").select(
+    near = candidates(left, tree, max_distance)
+    shapes_of = right.select(F.col("id").alias("rid"), F.col("segs").alias("b"), "best")
+    measured = near.join(left.select("id", F.col("segs").alias("a")), "id").join(shapes_of, "rid").select(
         "id", "best", F.expr(geo.distance("a", "b")).alias("dist"),
     )
     if max_distance is not None:
