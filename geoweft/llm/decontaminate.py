@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices, texts
+from .arrow import slices, text_in, texts
 from .words import U, mix, powers, words
 
 SEED = 5
@@ -147,16 +147,16 @@ def _matches(batches, block, coverage):
             ["id", "item_id", "coverage", "tiles"])
 
 
-def _clean(batches, block, coverage):
+def _clean(batches, block, coverage, at):
     known = _Block(*block.value)
-    for batch in slices(batches):
+    for batch in slices(text_in(b, "rest", at) for b in batches):
         found = words(texts(batch))
         bad = set()
         for doc, item, places, size in known.found_in(found.hashes, found.doc):
             if doc not in bad and _covered(known, item, found.hashes, places, size)[0] >= coverage:
                 bad.add(doc)
         keep = [i for i in range(batch.num_rows) if i not in bad]
-        yield batch.take(pa.array(keep, pa.int64())).select(["rest", "text"])
+        yield batch.take(pa.array(keep, pa.int64())).select(["rest"])
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
@@ -194,8 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                    coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"))
+    at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        rows = rows.mapInArrow(partial(_clean, block=sent, coverage=coverage), rows.schema)
+        rows = rows.mapInArrow(partial(_clean, block=sent, coverage=coverage, at=at), rows.schema)
     return rows.select("rest.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrow import once, slices, texts
+from .arrow import once, slices, text_in, texts
 
 # n-grams of a profile, of a language as well as of a document.
 PROFILE = 300
@@ -110,12 +110,14 @@ def distances(own: np.ndarray, profiles: list[tuple[np.ndarray, np.ndarray]]) ->
     return np.array(out)
 
 
+def _ranked(profiles: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each profile, by name, its n-grams in the order of their numbers, and their ranks."""
+    orders = [(profiles[name], np.argsort(profiles[name], kind="stable")) for name in sorted(profiles)]
+    return [(grams[order], order) for grams, order in orders]
+
+
 def _identified(batches, profiles):
-    names = sorted(profiles)
-    ranked = []
-    for name in names:
-        order = np.argsort(profiles[name], kind="stable")
-        ranked.append((profiles[name][order], order))
+    names, ranked = sorted(profiles), _ranked(profiles)
     for batch in slices(batches):
         langs, scores = [], []
         for text in texts(batch):
@@ -143,15 +145,18 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: Column, te
     return _with_language(docs, profiles, text_col, keep).select("rest.*", "lang_pred", "score")
 
 
-def _lettered(batches):
-    for batch in slices(batches):
-        yield batch.filter(pa.array([len(ngrams(text)) > 0 for text in texts(batch)])).select(["rest"])
+def _told(batches, profiles, at):
+    """The rows in which some language is nearer than none."""
+    ranked = _ranked(profiles)
+    for batch in slices(text_in(b, "rest", at) for b in batches):
+        own = map(top, texts(batch))
+        keep = [len(o) > 0 and (not ranked or bool(distances(o, ranked).min() < 1)) for o in own]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["rest"])
 
 
 def identified_only(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows in which a language was found, with the columns they came with. Without
-    profiles none can be told, and all rows with a letter stay."""
-    if not profiles:
-        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), docs[text_col].cast("string").alias("text"))
-        return rows.mapInArrow(_lettered, rows.select("rest").schema).select("rest.*")
-    return _with_language(docs, profiles, text_col, ()).filter(F.col("lang_pred") != UNKNOWN).select("rest.*")
+    """The rows in which a language was found, with the columns they came with: those without a
+    letter go, and those of which no profile lists a single n-gram, as all languages are equally
+    far then. Without profiles none can be told, and all rows with a letter stay."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"))
+    return rows.mapInArrow(partial(_told, profiles=profiles, at=docs.columns.index(text_col)), rows.schema).select("rest.*")

@@ -15,9 +15,12 @@ expected to be hit are thrown, and twice as far for documents that miss one.
 Joins: texts with the same words are one node. Nodes that agree in all rows of a band share a
 bucket. First each bucket's members are compared with its most central node (the one whose
 buckets hold most), so a bucket of copies, however large, takes one comparison a member. Buckets
-whose members are in one class by then are done; in the others the members of different classes
-are compared with each other. Pairs whose signatures differ too much are left out by the join
-itself; each comparison of the others is exact.
+whose members are in one class by then are done. The members of the others are joined by a
+prefix filter: a text's elements are put in one order for all texts, rare ones first, and two
+texts of a similarity of `THRESHOLD` share one of those that make up the first fifth of their
+weights. So texts that have a common passage and little else aren't met in pairs; nor are those
+of one class. Pairs whose total weights or signatures differ too much are left out before texts
+are joined; each comparison of the others is exact.
 
 Defined cases: texts without words (null and empty ones too) are classes of their own; null
 ids come last within a class; of repeated rows one stays; an empty table gives no rows; further
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grid import stored
-from .arrow import slices, texts
+from .arrow import slices, text_in, texts
 from .bits import bitmap, flagged
 from .components import components
 from .words import U, mix, words
@@ -49,6 +52,12 @@ COORDINATES = BANDS * ROWS
 KEPT_BITS = 4
 PACKED, MOST_DIFFERENT = -(-COORDINATES // (64 // KEPT_BITS)), 71
 
+# Bytes that a text counts for at least when slices are cut: a short one throws as many darts as
+# a long one.
+LEAST_BYTES = 2_000
+# Counters of how many texts hold an element; those that fall together count as one.
+COUNTERS = 1 << 18
+
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -106,11 +115,11 @@ def signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: i
     return sig.reshape(docs, COORDINATES)
 
 
-SIGNED = "id long, row_no long, node binary, sig array<long>, bands array<long>"
+SIGNED = "id {}, row_no long, node binary, total double, sig array<long>, bands array<long>"
 
 
 def _signed(batches, by_count):
-    for batch in slices(batches):
+    for batch in slices(batches, least=LEAST_BYTES):
         found = words(texts(batch))
         hashes, doc, _ = found.shingles(SHINGLE)
         element, doc, weight = weighted(hashes, doc, by_count)
@@ -126,8 +135,10 @@ def _signed(batches, by_count):
         short[:, :COORDINATES] = mix(sig) & U((1 << KEPT_BITS) - 1)
         short = (short.reshape(n, PACKED, each) << (U(KEPT_BITS) * np.arange(each, dtype=U))).sum(axis=2, dtype=U)
         node = pa.array([r.tobytes() if s else None for r, s in zip(names, some)], pa.binary())
+        total = pa.array(np.bincount(doc, weight, n), mask=~some)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row_no"), node, _rows(short, some), _rows(bands, some)], ["id", "row_no", "node", "sig", "bands"])
+            [batch.column("id"), batch.column("row_no"), node, total, _rows(short, some), _rows(bands, some)],
+            ["id", "row_no", "node", "total", "sig", "bands"])
 
 
 def _rows(values: np.ndarray, some: np.ndarray) -> pa.ListArray:
@@ -156,6 +167,56 @@ def _compared(batches, by_count):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
 
+def _held(batches, by_count):
+    """(slot, n): how many of the texts hold an element of the slot."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in slices(batches):
+        (element, _, _), _ = _sides(batch, "text", by_count)
+        counts += np.bincount(_slot(element), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["slot", "n"])
+
+
+def _slot(element: np.ndarray) -> np.ndarray:
+    return (mix(element) % U(COUNTERS)).astype(np.int64)
+
+
+def prefixes(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, text, weight before it) of the elements that come first in the order of all
+    texts, as long as what is left weighs enough for a similarity of THRESHOLD: two such texts
+    share one of them."""
+    order = np.lexsort((element, counts[_slot(element)], doc))
+    element, doc, weight = element[order], doc[order], weight[order]
+    sums = np.cumsum(weight)
+    first = np.searchsorted(doc, doc)
+    before = sums - weight - (sums[first] - weight[first])
+    total = np.bincount(doc, weight)[doc] if len(doc) else weight
+    keep = before <= (1 - THRESHOLD) * total + 1e-6
+    return element[keep], doc[keep], before[keep]
+
+
+def _first_elements(batches, counts, by_count):
+    for batch in slices(batches):
+        own, _ = _sides(batch, "text", by_count)
+        element, doc, before = prefixes(*own, counts.value)
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(element.view(np.int64)), pa.array(before)], ["element", "before"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "elements"])
+
+
+def _balanced(a: str, b: str) -> str:
+    """Whether two total weights allow a similarity of THRESHOLD."""
+    return f"least({a}, {b}) >= {THRESHOLD}D * greatest({a}, {b}) - 1e-6D"
+
+
+def _may_be_first() -> str:
+    """Whether an element of both sides may be the first that they share: none before it is
+    shared then, and what is left must weigh enough in both for the similarity."""
+    least = f"{THRESHOLD / (1 + THRESHOLD)!r}D * (l.total + r.total) - 1e-6D"
+    return f"l.total - l.before >= {least} AND r.total - r.before >= {least}"
+
+
 def _close(a: str, b: str) -> str:
     """Whether at most MOST_DIFFERENT of two signatures' coordinates differ."""
     ones = sum(1 << at for at in range(0, 64, KEPT_BITS))
@@ -174,17 +235,18 @@ class _Corpus:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, by_count: bool):
         self.by_count = by_count
         self.docs = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-        self.rows = stored(self.docs.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(partial(_signed, by_count=by_count), SIGNED))
+        signed = SIGNED.format(self.docs.schema["id"].dataType.simpleString())
+        self.rows = stored(self.docs.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(partial(_signed, by_count=by_count), signed))
         worded = self.rows.filter("node IS NOT NULL")
         self.nodes = stored(worded.groupBy("node").agg(
-            F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
+            F.min("id").alias("id"), F.first("total").alias("total"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
         ))
-        in_band = self.nodes.select("node", "sig", F.posexplode("bands").alias("band", "value")).select(
-            "node", "sig", "band", F.xxhash64("band", "value").alias("bucket"))
+        in_band = self.nodes.select("node", "total", "sig", F.posexplode("bands").alias("band", "value")).select(
+            "node", "total", "sig", F.xxhash64("band", "value").alias("bucket"))
         filled = stored(in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         # nearly all buckets hold one node: most of those are left out before the rest is shuffled
         bits = stored(bitmap(filled, F.col("bucket")))
-        shared = stored(flagged(in_band, F.col("bucket"), bits, "met").filter("met").select("node", "sig", "band", "bucket").join(filled, "bucket"))
+        shared = stored(flagged(in_band, F.col("bucket"), bits, "met").filter("met").select("node", "total", "sig", "bucket").join(filled, "bucket"))
         # How central a node is: what near copies were made from meets more of them than they meet
         # of each other, so compared with it first they fall into one class.
         weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -212,18 +274,11 @@ class _Corpus:
     def labels(self) -> DataFrame:
         """(node, label) of all nodes that have a link."""
         ordered = F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
-        top = self.members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "sig")).alias("top")).select("bucket", "top.*")
-        star = top.alias("l").join(self.members.alias("r"), F.expr(f"l.bucket = r.bucket AND l.node != r.node AND {_close('l.sig', 'r.sig')}"))
+        top = self.members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "total", "sig")).alias("top")).select("bucket", "top.*")
+        star = top.alias("l").join(self.members.alias("r"), F.expr(
+            f"l.bucket = r.bucket AND l.node != r.node AND {_balanced('l.total', 'r.total')} AND {_close('l.sig', 'r.sig')}"))
         label = components(stored(self.similar(star.select(*ordered))))
-        state = self.members.drop("weight").join(label, "node", "left").select("bucket", "band", "node", "sig", F.coalesce("label", "node").alias("label"))
-        mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-        short = F.transform("bands", lambda v: F.shiftright(v, 32).cast("int"))
-        rest = stored(state.join(mixed, "bucket").join(self.nodes.select("node", short.alias("bands")), "node"))
-        # a pair that shares several bands is met in the first of them
-        earlier = " OR ".join(f"(l.band > {i} AND l.bands[{i}] = r.bands[{i}])" for i in range(BANDS - 1))
-        across = rest.alias("l").join(rest.alias("r"), F.expr(
-            f"l.bucket = r.bucket AND l.node < r.node AND l.label != r.label AND {_close('l.sig', 'r.sig')} AND NOT ({earlier})"))
-        new = stored(self.similar(across.select(*ordered)))
+        new = stored(self.similar(self.across(label)))
         # what is linked already counts as one node: only the new links are followed
         of_a, of_b = (label.toDF(c, f"{c}_label") for c in ("a", "b"))
         joint = new.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
@@ -231,6 +286,31 @@ class _Corpus:
         every = label.unionByName(further.select(F.col("label").alias("node"), "label").join(label, "node", "left_anti"))
         return every.join(further, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
 
+    def across(self, label: DataFrame) -> DataFrame:
+        """(a, b) of nodes of different labels that share a prefix element, of all nodes of the
+        buckets in which labels differ."""
+        state = self.members.select("bucket", "node", "total").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
+        rest = stored(state.join(mixed, "bucket").select("node", "total", "label").distinct())
+        texts = stored(self.texts().join(rest.select("node"), "node", "left_semi"))
+        slots = texts.mapInArrow(partial(_held, by_count=self.by_count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        counts = np.zeros(COUNTERS, np.int64)
+        for slot, n in slots.toLocalIterator():  # COUNTERS rows at most
+            counts[slot] = n
+        sent = texts.sparkSession.sparkContext.broadcast(counts)
+        first = texts.mapInArrow(partial(_first_elements, counts=sent, by_count=self.by_count), "node binary, elements array<struct<element: long, before: double>>")
+        # a text of the wrong node with the same id may be there, too: all its pairs fail later
+        held = stored(first.join(rest, "node").select("node", "label", "total", F.inline("elements")))
+        labels = held.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
+        # pairs of one label aren't looked for: one of two nodes isn't of the commonest label
+        common = labels.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        met = stored(held.join(common.drop("labels"), "element"))
+        pairs = met.filter("label != common").alias("l").join(met.alias("r"), F.expr(
+            f"l.element = r.element AND l.label != r.label AND {_may_be_first()}"))
+        once = stored(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
+        sigs = self.nodes.select("node", "sig")
+        return once.join(sigs.toDF("a", "a_sig"), "a").join(sigs.toDF("b", "b_sig"), "b").filter(F.expr(_close("a_sig", "b_sig"))).select("a", "b")
+
     def decisions(self) -> DataFrame:
         """id, row_no, node, class_id, class_size, kept for every row."""
         own = F.struct(F.isnull("id").alias("no_id"), "id", "row_no")
@@ -238,7 +318,7 @@ class _Corpus:
         labelled = stored(per_node.join(self.labels(), "node", "left").select("node", "n", "first", F.coalesce("label", "node").alias("label")))
         classes = labelled.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).filter("class_size > 1")
         of_node = labelled.select("node", "label").join(classes, "label").drop("label")
-        met = self.rows.drop("sig", "bands").join(of_node, "node", "left")
+        met = self.rows.drop("total", "sig", "bands").join(of_node, "node", "left")
         return met.select(
             "id", "row_no", "node", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
@@ -251,8 +331,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _Corpus(docs, id_col, text_col, by_count).decisions().select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
-def _named(batches):
-    for batch in slices(batches):
+def _named(batches, at):
+    for batch in slices(text_in(b, "rest", at) for b in batches):
         found = words(texts(batch))
         names = [r.tobytes() if s else None for r, s in zip(found.whole(), np.diff(found.first) > 0)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "rest")), pa.array(names, pa.binary())], ["id", "key", "rest", "node"])
@@ -265,12 +345,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.xxhash64("id")
     dropped = made.filter("NOT kept").select(key.alias("key")).distinct()
     bits = stored(bitmap(dropped, F.col("key")))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("rest"))
+    rows = docs.select(docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("rest"))
     marked = flagged(rows.withColumn("key", key), F.col("key"), bits, "suspect")
-    suspect = marked.filter("suspect").select("id", "key", "text", "rest")
+    suspect = marked.filter("suspect").select("id", "key", "rest")
     schema = suspect.select("id", "key", "rest", F.lit(None).cast("binary").alias("node")).schema
     # both branches go by the node: whether a text has words is told in one place only
-    named = suspect.mapInArrow(_named, schema)
+    named = suspect.mapInArrow(partial(_named, at=docs.columns.index(text_col)), schema)
     none = named.filter("node IS NULL").select("rest")
     known = made.withColumn("key", key).join(dropped, "key").groupBy("key", "node").agg(F.max("kept").alias("stays"))
     met = named.filter("node IS NOT NULL").join(known, ["key", "node"], "left")

@@ -1,10 +1,12 @@
 """Signatures, classes and decontamination against brute force."""
+import os
 import random
 import re
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -14,6 +16,8 @@ from geoweft.llm.words import words
 
 from .conftest import odd_rows, prose
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def shingles(text, by_count=False):
     w = re.findall(r"\w+", (text or "").lower())
@@ -182,3 +186,87 @@ def test_decontamination(spark, odd, empty, monkeypatch):
 
 def test_empty_tables(empty):
     assert near_dedup.near_dedup(empty).count() == near_dedup.deduplicated(empty).count() == 0
+
+
+def linked(rows):
+    """Pairs of rows of a similarity of 0.8 or more with counts as weights, by an inverted index."""
+    own = [shingles(t, True) for _, t in rows]
+    total = [sum(o.values()) for o in own]
+    held, common = {}, Counter()
+    for k, o in enumerate(own):
+        for s, n in o.items():
+            for j, m in held.setdefault(s, []):
+                common[j, k] += min(n, m)
+            held[s].append((k, n))
+    return [(a, b) for (a, b), c in common.items() if c >= 0.8 * (total[a] + total[b] - c)]
+
+
+def labels_of(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(b)] = find(a)
+    return [find(k) for k in range(n)]
+
+
+def recall(spark, rows, text_ids=False):
+    """Links, how many of them lie in one class, and whether the classes are the same."""
+    kind = "string" if text_ids else "long"
+    df = spark.createDataFrame([(str(i) if text_ids else i, t) for i, t in rows], f"doc_id {kind}, text string").repartition(4)
+    found = {int(r.doc_id): r.class_id for r in near_dedup.near_dedup(df).collect()}
+    pairs = linked(rows)
+    same = len({(label, found[i]) for label, (i, _) in zip(labels_of(len(rows), pairs), rows)}) == len(set(found.values()))
+    return len(pairs), sum(found[rows[a][0]] == found[rows[b][0]] for a, b in pairs), same
+
+
+def test_a_large_group_near_the_threshold(spark, monkeypatch):
+    """Copies that are about as far from each other as the threshold: no link of theirs is lost,
+    and what is compared doesn't grow with the square of the group."""
+    base, line = prose(5000, 110), prose(5001, 12)
+    rows = [(k, line + "\n" + edited(base, [0.005, 0.01, 0.02, 0.03][k % 4], 7000 + k)) for k in range(400)]
+    rows += [(1000 + k, line + "\n" + prose(9000 + k, 60)) for k in range(300)]
+    compared = []
+    similar = near_dedup._Corpus.similar
+
+    def spied(self, pairs):
+        compared.append(pairs.distinct().count())
+        return similar(self, pairs)
+
+    monkeypatch.setattr(near_dedup._Corpus, "similar", spied)
+    links, met, same = recall(spark, rows)
+    assert links > 1000 and met == links and same
+    assert sum(compared) < 400 * 399 / 2 / 8
+
+
+def test_text_ids_and_one_common_line(spark):
+    line = prose(6000, 40)
+    rows = [(k, line + "\n" + prose(6100 + k % 60, 5 + k % 7)) for k in range(240)]
+    links, met, same = recall(spark, rows, text_ids=True)
+    assert links and met == links and same
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables aren't here")
+def test_measured_recall(spark):
+    table = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"])
+    links, met, same = recall(spark, list(zip(*(c.to_pylist() for c in table.columns))))
+    assert links > 90 and met == links and same
+
+
+def test_prefixes_share_an_element():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 99, near_dedup.COUNTERS)
+    for _ in range(300):
+        shared = rng.integers(1, 2**63, 40).astype(np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(1, 2**63, rng.integers(0, 9)).astype(np.uint64)]) for _ in range(2))
+        weights = [np.ones(len(a)), np.ones(len(b))]
+        if 40 < 0.8 * (len(a) + len(b) - 40):
+            continue
+        (ea, _, wa), (eb, _, wb) = (near_dedup.prefixes(e, np.zeros(len(e), np.int64), w, counts) for e, w in zip((a, b), weights))
+        both, at, bt = np.intersect1d(ea, eb, return_indices=True)
+        least = 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+        assert any(len(a) - wa[i] >= least and len(b) - wb[j] >= least for i, j in zip(at, bt))
