@@ -68,7 +68,7 @@ def _inside(x, y, ring) -> bool:
     return odd
 
 
-def _straight(ring):
+def straight(ring):
     """Without the vertices in the middle of a straight run (left by cutting)."""
     n = len(ring)
     kept = []
@@ -108,7 +108,7 @@ def polygons_from_edges(edges: pa.Array) -> pa.Array:
         rows = [tuple(e) for e in table[offsets[i]:offsets[i + 1]]]
         parts = []
         for polygon in nest_rings(follow_edges(rows)):
-            rings = [r for r in map(_straight, polygon) if len(r) > 2]
+            rings = [r for r in map(straight, polygon) if len(r) > 2]
             if rings:
                 parts.append({"dim": 2, "rings": [
                     [{"x": x, "y": y, "z": None} for x, y in r + r[:1]] for r in rings
@@ -122,7 +122,7 @@ def simple_loops(loops: pa.Array) -> list[list[list[dict]]]:
     on straight runs; the same as for edges that are followed within a row."""
     result = []
     for walk in loops.to_pylist():
-        rings = [_straight(r) for r in _split_at_repeats([(v["x"], v["y"]) for v in walk])]
+        rings = [straight(r) for r in _split_at_repeats([(v["x"], v["y"]) for v in walk])]
         result.append([[{"x": x, "y": y, "z": None} for x, y in r] for r in rings if len(r) > 2])
     return result
 

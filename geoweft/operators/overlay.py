@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as geo
-from ..functions import kernels, noding
-from ..functions.wkb import PART_ARROW
+from ..functions import kernels, noding, planar
+from ..functions.wkb import GEOMETRY_ARROW, PART_ARROW
 from .chains import assembled, closed_rings
 from .grid import grown, overlapping_pairs, stored
 
@@ -218,22 +218,6 @@ def difference_parts(rows: DataFrame) -> DataFrame:
     return rings(kept)
 
 
-def even_odd_parts(rows: DataFrame) -> DataFrame:
-    """(`k`, `parts`): each group's (broken) polygon as the area its rings go around an odd
-    number of times."""
-    faces, inverse = _faces(rows.withColumn("side", F.lit("a")))
-    pieces = _labelled_pieces(faces, inverse)
-    left = _probe(pieces, faces, *noding.beside("e", 1)).select("h", "k", "pid", F.lit(True).alias("inl"))
-    right = _probe(pieces, faces, *noding.beside("e", -1)).select("h", "k", "pid", F.lit(True).alias("inr"))
-    seen = pieces.join(left, ["h", "k", "pid"], "left").join(right, ["h", "k", "pid"], "left").selectExpr(
-        "k", "e", "coalesce(inl, false) AS inl", "coalesce(inr, false) AS inr",
-    )
-    kept = seen.filter("inl <> inr").select("k", F.expr(
-        "CASE WHEN inl THEN e ELSE named_struct('x1', e.x2, 'y1', e.y2, 'x2', e.x1, 'y2', e.y1) END"
-    ).alias("e"))
-    return rings(kept)
-
-
 def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The boundaries a row can hold, and the larger ones (None when there are none)."""
     edges = stored(edges.distinct())
@@ -264,16 +248,19 @@ def hole_rings(edges: DataFrame) -> DataFrame:
     return holes if large is None else holes.unionByName(closed_rings(large).filter("size < 0").select("k", "ring"))
 
 
-def repaired(df: DataFrame, key: str) -> DataFrame:
-    """`df` with its invalid polygons redone by the even-odd rule; valid rows aren't touched."""
-    broken = stored(
-        df.filter(F.expr(f"{geo.is_polygon('geom')} AND NOT {geo.is_valid('geom')}")).select(F.col(key).alias("k"), "geom")
-    )
-    if broken.isEmpty():
-        return df
-    fixed = even_odd_parts(broken).select(F.col("k").alias(key), F.col("parts").alias("__parts"))
-    redone = broken.select(F.col("k").alias(key), F.lit(True).alias("__broken"))
-    joined = df.join(redone, key, "left").join(fixed, key, "left")
-    empty = geo._geometry("geom.kind", "array()")
-    new = f"CASE WHEN __broken THEN CASE WHEN size(__parts) > 0 THEN {geo.from_parts('__parts')} ELSE {empty} END ELSE geom END"
-    return joined.withColumn("geom", F.expr(new)).select(*df.columns)
+@F.arrow_udf(geo.GEOMETRY_TYPE)
+def _mended(geom: pa.Array) -> pa.Array:
+    """NULL for what is valid or no polygon."""
+    out = []
+    for parts, kind in zip(planar.mended(geom.field("parts")), geom.field("kind").to_pylist()):
+        if parts is not None:
+            kind = "MULTIPOLYGON" if len(parts) > 1 else "POLYGON" if parts else kind
+        out.append(None if parts is None else {"kind": kind, "parts": parts})
+    return pa.array(out, GEOMETRY_ARROW)
+
+
+def repaired(df: DataFrame) -> DataFrame:
+    """`df` with its invalid polygons redone by the even-odd rule. A column of the scan: nothing
+    is read before the rows are, and nothing is stored."""
+    polygon = F.when(F.expr(geo.is_polygon("geom")), F.col("geom"))
+    return df.withColumn("geom", F.coalesce(_mended(polygon), F.col("geom")))

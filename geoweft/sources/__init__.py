@@ -352,7 +352,7 @@ def loaded(df: DataFrame, src, working_crs: str) -> DataFrame:
     if src.force_2d:
         df = df.withColumn("geom", F.expr(geo.force_2d("geom")))
     if src.make_valid and not src.x_field:
-        df = repaired(stored(df), ROW)
+        df = repaired(df)
     return df
 
 
