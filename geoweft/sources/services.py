@@ -45,8 +45,8 @@ def exists(path: str) -> bool:
 
 # ---- fixed values: what a WFS request asks for ----
 WFS_ASKS = {"SERVICE": "WFS", "VERSION": "2.0.0", "REQUEST": "GetFeature"}
-# Keys of the given address that the request decides itself.
-WFS_OWN = {"service", "version", "request", "typename", "typenames", "srsname", "outputformat", "count", "startindex"}
+# Further keys that the request decides itself: older spellings, and those of pages and formats.
+WFS_DECIDES = ("TYPENAME", "OUTPUTFORMAT", "COUNT", "STARTINDEX")
 # ---------------------------------------------------
 
 
@@ -54,11 +54,11 @@ def wfs_url(src) -> str:
     """One GetFeature request for a layer, in the source's CRS where it names one. Further
     keys of the address are passed on."""
     address, _, given = re.sub("^wfs:", "", src.uri, flags=re.I).partition("?")
-    asks = {key: value for key, value in parse_qsl(given) if key.lower() not in WFS_OWN}
-    asks |= WFS_ASKS | {"TYPENAMES": src.layer or ""}
+    asks = WFS_ASKS | {"TYPENAMES": src.layer or "", "SRSNAME": None}
     if src.crs:
         asks["SRSNAME"] = "urn:ogc:def:crs:{}::{}".format(*src.crs.upper().split(":", 1))
-    return f"{address}?{urlencode(asks)}"
+    passed = {key: value for key, value in parse_qsl(given) if key.upper() not in (*asks, *WFS_DECIDES)}
+    return f"{address}?{urlencode(passed | {key: value for key, value in asks.items() if value is not None})}"
 
 
 def arcgis_url(src, offset: int | None = None) -> str:
