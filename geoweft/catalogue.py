@@ -1,9 +1,10 @@
 """Queries over the driver tables, one per operator, with their plain SQL equivalents.
 
 The tables hold no geometry, so integer-valued shapes are derived from their keys, the same
-way on both sides: points of customers, suppliers and orders, boxes of parts, a 5 × 5 grid
-of nations, segments of orders. Every thousand keys fill a square of their own, beside the
-one before, so shapes stay distinct and the map grows with the rows."""
+way on both sides: points of customers, suppliers and orders, boxes of parts and suppliers,
+nations as strips along the whole map, segments of orders. A thousand parts, and as many rows of
+the other tables as come with them, fill a square of their own beside the one before: the map
+grows with the rows, and the share of rows that meet something stays as it is."""
 from __future__ import annotations
 
 import json
@@ -57,8 +58,12 @@ def as_double(sql: str) -> str:
     return f"CAST({sql} AS DOUBLE)"
 
 
+# Keys whose shapes lie in one square of the map: the tables grow in these proportions.
+IN_SQUARE = {"p_partkey": 1000, "o_orderkey": 7500, "c_custkey": 750, "s_suppkey": 50}
+
+
 def east_of(k: str) -> str:
-    return f"{k} * 7919 % 1000 + {k} DIV 1000 * 1000"
+    return f"{k} * 7919 % 1000 + {k} DIV {IN_SQUARE[k]} * 1000"
 
 
 def point_of(k: str) -> str:
@@ -70,8 +75,7 @@ def box_of(x0: str, y0: str, w: str, h: str | None = None) -> str:
 
 
 PART_BOX = box_of("p_partkey * 13 % 990 + p_partkey DIV 1000 * 1000", "p_partkey * 29 % 990", "(5 + p_partkey % 20)")
-NATION_CELL = box_of("n_nationkey % 5 * 200", "(n_nationkey DIV 5) * 200", "200")
-SUPPLIER_BOX = box_of("s_suppkey * 37 % 980", "s_suppkey * 53 % 980", "(10 + s_suppkey % 15)")
+SUPPLIER_BOX = box_of("s_suppkey * 37 % 980 + s_suppkey DIV 50 * 1000", "s_suppkey * 53 % 980", "(10 + s_suppkey % 15)")
 ORDER_LINE = (
     "CASE WHEN o_orderkey % 2 = 0 THEN "
     + geo.segment(as_double("o_orderkey * 17 % 900"), as_double("o_orderkey * 31 % 200"), as_double("o_orderkey * 17 % 900 + 10 + o_orderkey % 50"), as_double("o_orderkey * 31 % 200"))
@@ -102,7 +106,9 @@ def parts(spark, sf, *cols):
 
 
 def nations(spark, sf, *cols):
-    return keyed(table(spark, sf, "nation", "n_nationkey", *cols), "n_nationkey", NATION_CELL)
+    last = table(spark, sf, "part", "p_partkey").agg(F.max("p_partkey")).first()[0] or 0
+    strip = box_of("0", "n_nationkey * 40", f"{(last // 1000 + 1) * 1000}", "40")
+    return keyed(table(spark, sf, "nation", "n_nationkey", *cols), "n_nationkey", strip)
 
 
 def supplier_boxes(spark, sf, *cols):
@@ -110,11 +116,16 @@ def supplier_boxes(spark, sf, *cols):
 
 
 # the same in SQL
-POINT = "{k} * 7919 % 1000 + {k} // 1000 * 1000 AS x, {k} * 104729 % 1000 AS y"
+def point_sql(k: str) -> str:
+    return f"{k} * 7919 % 1000 + {k} // {IN_SQUARE[k]} * 1000 AS x, {k} * 104729 % 1000 AS y"
+
+
 PARTS = "(SELECT *, p_partkey * 13 % 990 + p_partkey // 1000 * 1000 AS x0, p_partkey * 29 % 990 AS y0, p_partkey * 13 % 990 + p_partkey // 1000 * 1000 + 5 + p_partkey % 20 AS x1, p_partkey * 29 % 990 + 5 + p_partkey % 20 AS y1 FROM part)"
-NATIONS = "(SELECT *, n_nationkey % 5 * 200 AS nx0, n_nationkey // 5 * 200 AS ny0, n_nationkey % 5 * 200 + 200 AS nx1, n_nationkey // 5 * 200 + 200 AS ny1 FROM nation)"
-SUPPLIERS = "(SELECT *, s_suppkey * 37 % 980 AS sx0, s_suppkey * 53 % 980 AS sy0, s_suppkey * 37 % 980 + 10 + s_suppkey % 15 AS sx1, s_suppkey * 53 % 980 + 10 + s_suppkey % 15 AS sy1 FROM supplier)"
-ORDERS = "(SELECT *, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)"
+NATIONS = "(SELECT *, 0 AS nx0, n_nationkey * 40 AS ny0, ((SELECT max(p_partkey) FROM part) // 1000 + 1) * 1000 AS nx1, n_nationkey * 40 + 40 AS ny1 FROM nation)"
+SUPPLIERS = (
+    "(SELECT *, s_suppkey * 37 % 980 + s_suppkey // 50 * 1000 AS sx0, s_suppkey * 53 % 980 AS sy0, "
+    "s_suppkey * 37 % 980 + s_suppkey // 50 * 1000 + 10 + s_suppkey % 15 AS sx1, s_suppkey * 53 % 980 + 10 + s_suppkey % 15 AS sy1 FROM supplier)")
+ORDERS = f"(SELECT *, {point_sql('o_orderkey')} FROM orders)"
 OVERLAP = "greatest(0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0, least(y1, ny1) - greatest(y0, ny0))"
 
 
@@ -264,7 +275,7 @@ def spatial_join_all(spark, sf):
 
 @query(f"""
 WITH p AS {PARTS}, m AS (SELECT p_partkey, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nation_sum, min(c_custkey) AS lowest
-  FROM p JOIN (SELECT *, {POINT.format(k='c_custkey')} FROM customer) ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY p_partkey)
+  FROM p JOIN (SELECT *, {point_sql('c_custkey')} FROM customer) ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY p_partkey)
 SELECT p_partkey, coalesce(n, 0) AS n, nation_sum, lowest FROM part LEFT JOIN m USING (p_partkey)""")
 def spatial_join_summarize(spark, sf):
     fields = {"n": Aggregate("n", how="count"), "nation_sum": Aggregate("nation_sum", "c_nationkey", "sum"), "lowest": Aggregate("lowest", "c_custkey", "min")}
@@ -304,10 +315,10 @@ def spatial_join_largest_overlap(spark, sf):
 
 
 NEAREST = f"""
-WITH c AS (SELECT DISTINCT {POINT.format(k='c_custkey')} FROM customer), s AS (SELECT s_suppkey, {POINT.format(k='s_suppkey')} FROM supplier),
+WITH c AS (SELECT DISTINCT {point_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, {point_sql('s_suppkey')} FROM supplier),
 m AS (SELECT c.x, c.y, arg_min(s_suppkey, ((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y), s_suppkey)) AS supplier,
   min((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS d2 FROM c CROSS JOIN s {{where}} GROUP BY c.x, c.y)
-SELECT c_custkey, supplier, round(sqrt(d2), 6) AS dist FROM (SELECT c_custkey, {POINT.format(k='c_custkey')} FROM customer) LEFT JOIN m USING (x, y)"""
+SELECT c_custkey, supplier, round(sqrt(d2), 6) AS dist FROM (SELECT c_custkey, {point_sql('c_custkey')} FROM customer) LEFT JOIN m USING (x, y)"""
 
 
 @query(NEAREST.format(where=""))
@@ -349,7 +360,7 @@ def nearest_clustered(spark, sf):
 
 
 @query(f"""
-WITH p AS {PARTS}, s AS (SELECT s_suppkey, {POINT.format(k='s_suppkey')} FROM supplier),
+WITH p AS {PARTS}, s AS (SELECT s_suppkey, {point_sql('s_suppkey')} FROM supplier),
 d AS (SELECT p_partkey, s_suppkey, greatest(0, x0 - x, x - x1) AS dx, greatest(0, y0 - y, y - y1) AS dy FROM p CROSS JOIN s)
 SELECT p_partkey, arg_min(s_suppkey, (dx * dx + dy * dy, s_suppkey)) AS supplier, round(sqrt(min(dx * dx + dy * dy)), 6) AS dist FROM d GROUP BY p_partkey""")
 def nearest_to_boxes(spark, sf):
@@ -358,7 +369,7 @@ def nearest_to_boxes(spark, sf):
 
 
 @query(f"""
-WITH c AS (SELECT DISTINCT {POINT.format(k='c_custkey')} FROM customer), s AS (SELECT DISTINCT {POINT.format(k='s_suppkey')} FROM supplier)
+WITH c AS (SELECT DISTINCT {point_sql('c_custkey')} FROM customer), s AS (SELECT DISTINCT {point_sql('s_suppkey')} FROM supplier)
 SELECT count(*) AS pairs FROM c JOIN s ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 400""")
 def within_distance(spark, sf):
     return joins.within_distance(customers(spark, sf), suppliers(spark, sf), 20.0).agg(F.count("*").alias("pairs"))
@@ -434,7 +445,7 @@ def dissolve_aggregates(spark, sf):
 
 
 @query("""SELECT o_orderstatus AS status, CAST(count(DISTINCT (x, y)) AS BIGINT) AS dots FROM
-(SELECT o_orderstatus, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders) GROUP BY o_orderstatus""")
+(SELECT o_orderstatus, o_orderkey * 7919 % 1000 + o_orderkey // 7500 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders) GROUP BY o_orderstatus""")
 def dissolve_points(spark, sf):
     df = polygons.dissolve(orders(spark, sf, "o_orderstatus"), ["o_orderstatus"], [])
     return df.select(F.col("o_orderstatus").alias("status"), F.expr("CAST(size(geom.parts) AS BIGINT)").alias("dots"))
@@ -568,7 +579,7 @@ def centroid_xy(spark, sf):
 
 @query("""
 SELECT o_orderkey, 'POINT (' || x || ' ' || y || ')' AS wkt, '{"type":"Point","coordinates":[' || x || '.0,' || y || '.0]}' AS geojson
-FROM (SELECT o_orderkey, o_orderkey * 7919 % 1000 + o_orderkey // 1000 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)""")
+FROM (SELECT o_orderkey, o_orderkey * 7919 % 1000 + o_orderkey // 7500 * 1000 AS x, o_orderkey * 104729 % 1000 AS y FROM orders)""")
 def text_forms(spark, sf):
     return orders(spark, sf).select("o_orderkey", F.expr(text.as_wkt("geom")).alias("wkt"), F.expr(text.as_geojson("geom")).alias("geojson"))
 
@@ -805,7 +816,7 @@ def step_counts(spark, sf):
 
 @query(f"""
 WITH p AS {PARTS}, wide AS (SELECT p_partkey, x0 - 3 AS x0, x1 + 3 AS x1, y0 AS ya, y1 AS yb, y0 - 3 AS y0, y1 + 3 AS y1, x0 AS xa, x1 AS xb FROM p WHERE p_size > 40)
-SELECT s_suppkey, min(p_partkey) AS part FROM (SELECT s_suppkey, {POINT.format(k='s_suppkey')} FROM supplier) JOIN wide
+SELECT s_suppkey, min(p_partkey) AS part FROM (SELECT s_suppkey, {point_sql('s_suppkey')} FROM supplier) JOIN wide
   ON (x BETWEEN xa AND xb AND y BETWEEN y0 AND y1) OR (x BETWEEN x0 AND x1 AND y BETWEEN ya AND yb) OR
      (greatest(xa - x, x - xb) BETWEEN 0 AND 3 AND greatest(ya - y, y - yb) BETWEEN 0 AND 3 AND
       (greatest(xa - x, x - xb), greatest(ya - y, y - yb)) IN ((1, 1), (1, 2), (2, 1), (2, 2), (0, 3), (3, 0))) GROUP BY s_suppkey""")
