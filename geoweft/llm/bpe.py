@@ -28,7 +28,7 @@ from .arrow import once, slices, texts
 # Characters of a window, and those it shares with the next one.
 CHUNK, OVERLAP = 16_384, 512
 # Pre-tokens whose ids a process remembers before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 # Between these two, texts are cut in the same place however they are split.
 SAFE_CUT = r"\S\s"
 # The rank of a pair that is never merged.
@@ -256,17 +256,24 @@ def _stitch(table: pa.Table, ranks, pattern, name, chunk) -> pa.Table:
     return pa.table({"id": rows.column("id").combine_chunks()[:1], "ids": _lists([ids])})
 
 
+def _whole(batches, encoded, then):
+    yield from then(encoded(batches))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk: int = CHUNK, overlap: int = OVERLAP, safe: str | None = SAFE_CUT) -> DataFrame:
+           chunk: int = CHUNK, overlap: int = OVERLAP, safe: str | None = SAFE_CUT, then=None, then_schema: str = "") -> DataFrame:
     """A row per document: its id and `ids`, an array of token ids. `safe` finds two characters
-    between which the pattern always cuts (None if it has no such place)."""
+    between which the pattern always cuts (None if it has no such place). With `then`, the rows
+    that it makes (of `then_schema`) of batches of ids: in the process that encodes, as a second
+    one for each task would need as much memory again."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size is the file's
     name = f"bpe {hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()}"
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    schema = f"id {key}, ids array<int>"
+    schema = then_schema if then else f"id {key}, ids array<int>"
     long = F.char_length("text") > chunk + overlap
-    short = rows.filter(~long).mapInArrow(partial(_encode_whole, ranks=sent, pattern=pattern, name=name), schema)
+    encoded = partial(_encode_whole, ranks=sent, pattern=pattern, name=name)
+    short = rows.filter(~long).mapInArrow(partial(_whole, encoded=encoded, then=then) if then else encoded, schema)
     windows = rows.withColumn("row", F.monotonically_increasing_id()).filter(long).mapInArrow(
         partial(_windows, chunk=chunk, overlap=overlap), f"id {key}, row long, no int, text string",
     )
@@ -276,10 +283,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         partial(_encode_windows, ranks=sent, pattern=pattern, name=name, chunk=chunk, overlap=overlap, safe=safe),
         f"id {key}, row long, no int, ends array<int>, counts array<int>, packed binary, size int, text string",
     )
-    joined = split.groupBy("row").applyInArrow(
-        lambda table: _stitch(table, sent, pattern, name, chunk), schema,
-    )
-    return short.unionByName(joined).withColumnRenamed("id", id_col)
+    def stitch(table: pa.Table) -> pa.Table:
+        ids = _stitch(table, sent, pattern, name, chunk)
+        return pa.Table.from_batches(then(ids.to_batches())) if then else ids
+
+    out = short.unionByName(split.groupBy("row").applyInArrow(stitch, schema))
+    return out if then else out.withColumnRenamed("id", id_col)
 
 
 def decoded(lists: pa.ListArray, pieces: np.ndarray, starts: np.ndarray) -> list[bytes]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, exact_dedup, fill_in_middle, language, licenses, near_dedup, quality, secrets, sharding, url_filter, whitening
+from .arrow import once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -114,16 +115,16 @@ def op6_language_id(spark, sf):
     return language.identify(docs, profiles, F.col("doc_id"), (rest == 2).alias("held_out"))
 
 
-def _digests(batches, ranks):
+def _digests(batches, ranks, name):
     """doc_id, number and digest of the ids, and the bytes they stand for."""
-    pieces = bpe.byte_table(ranks.value)
+    pieces = once(name, lambda: bpe.byte_table(ranks.value))
     for batch in bpe.id_slices(batches):
         lists = batch.column("ids")
         flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
         digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
         back = [hashlib.sha256(b).hexdigest() for b in bpe.decoded(lists, *pieces)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(digests), pa.array(back)],
+            [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(digests), pa.array(back)],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -131,8 +132,10 @@ def encoded_and_decoded(docs):
     """Token counts and digests of all texts, by the multilingual vocabulary."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return ids.mapInArrow(partial(_digests, ranks=sent), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    name = f"bytes {hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()}"
+    return bpe.encode(
+        docs, ranks, public_tokenizers.PATTERN, then=partial(_digests, ranks=sent, name=name),
+        then_schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query()
