@@ -229,6 +229,24 @@ def condition_builder(spark, sf):
     return df.filter(F.expr(where)).select("p_partkey", "p_name")
 
 
+# Every test of the condition builder, with what it is in SQL.
+CONDITIONS = [
+    ("p_brand", "is", "Brand#1", "p_brand = 'Brand#1'"), ("p_brand", "is not", "Brand#1", "p_brand <> 'Brand#1'"), ("p_size", ">", 20, "p_size > 20"),
+    ("p_size", ">=", 20, "p_size >= 20"), ("p_size", "<", 20, "p_size < 20"), ("p_size", "<=", 20, "p_size <= 20"),
+    ("p_name", "contains", "RIN", "lower(p_name) LIKE '%rin%'"), ("p_name", "doesn't contain", "RIN", "lower(p_name) NOT LIKE '%rin%'"),
+    ("p_name", "starts with", "B", "lower(p_name) LIKE 'b%'"), ("p_size", "in", [1, 2, 3], "p_size IN (1, 2, 3)"),
+    ("p_brand", "not in", ["Brand#1", "Brand#2"], "p_brand NOT IN ('Brand#1', 'Brand#2')"), ("p_name", "is empty", None, "coalesce(p_name, '') = ''"),
+    ("p_name", "is not empty", None, "coalesce(p_name, '') <> ''"),
+]
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{sql} AS c{i}" for i, (*_, sql) in enumerate(CONDITIONS)) + " FROM part")
+def condition_operators(spark, sf):
+    df = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    tests = [mapping.condition(column, operator, value, df.schema[column].dataType) for column, operator, value, _ in CONDITIONS]
+    return df.select("p_partkey", *[F.expr(t).alias(f"c{i}") for i, t in enumerate(tests)])
+
+
 # ---- joins by attribute ------------------------------------------------------
 
 @query("""
@@ -249,6 +267,19 @@ def attribute_join_summarize(spark, sf):
     return df.select("c_custkey", "n", "total", "priorities")
 
 
+@query("""
+SELECT n_nationkey, any_nation, mean, low, high FROM nation LEFT JOIN (
+  SELECT c_nationkey AS any_nation, round(avg(c_acctbal), 6) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY c_nationkey) ON any_nation = n_nationkey""")
+def attribute_join_any_average(spark, sf):
+    """How any (of values that are all the same), average, min and max."""
+    fields = {
+        "any_nation": Aggregate("any_nation", "c_nationkey", "any"), "mean": Aggregate("mean", "c_acctbal", "average"),
+        "low": Aggregate("low", "c_acctbal", "min"), "high": Aggregate("high", "c_acctbal", "max"),
+    }
+    df = joins.attribute_join(nations(spark, sf), table(spark, sf, "customer", "c_nationkey", "c_acctbal"), "n_nationkey", "c_nationkey", fields, "summarize")
+    return df.select("n_nationkey", "any_nation", F.round("mean", 6).alias("mean"), "low", "high")
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def attribute_join_rejects(spark, sf):
     pending = orders(spark, sf, "o_custkey", "o_orderstatus").filter("o_orderstatus = 'P'")

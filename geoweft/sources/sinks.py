@@ -113,9 +113,19 @@ def record_run(spark: SparkSession, folder: str, started: datetime, layers: list
     run = uuid.uuid4().hex
     row = (run, started, datetime.now(timezone.utc), error is None, error, hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest(), json.dumps(layers), log)
     spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").json(folder)
+    _forget_old_runs(spark, folder)
     return run
 
 
+def _forget_old_runs(spark: SparkSession, folder: str) -> None:
+    """Only the newest runs are kept; each is a file of its own."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    records = sorted((f for f in files.listStatus(top) if f.getPath().getName().endswith(".json")), key=lambda f: f.getModificationTime())
+    for old in records[:-RUNS_KEPT]:
+        files.delete(old.getPath(), False)
+
+
 def list_runs(spark: SparkSession, folder: str, limit: int = RUNS_KEPT) -> DataFrame:
     """The newest runs first."""
     return spark.read.schema(RUN).json(folder).orderBy(F.col("started").desc(), F.col("id")).limit(limit)
