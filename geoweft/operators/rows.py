@@ -84,15 +84,22 @@ def make_points(df: DataFrame, x: str, y: str, source_crs: str = "EPSG:4326", wo
     return pair.select(*kept, F.expr(geom).alias("geom"), F.expr("__x IS NOT NULL AND __y IS NOT NULL").alias("__matched"))
 
 
+# Rows that a range of `seq` aims at.
+ROWS_PER_RANGE = 1_000_000
+
+
 def seq(df: DataFrame, name: str) -> DataFrame:
-    """Rows numbered 1…n in row order: ranges of the order are counted, each range's rows are
-    numbered on their own and moved up by what lies before. No task holds more than a range."""
+    """Rows numbered 1…n in row order: they are sorted in ranges of the order, as many as the
+    rows need, numbered where they lie, and moved up by what lies before their range. One
+    shuffle; no task holds more than a range."""
     from .grid import stored
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(df.repartitionByRange(parts, ROW).withColumn("__pid", F.spark_partition_id()))
-    counts = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    rows = stored(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_PER_RANGE)
+    ranges = rows.repartitionByRange(parts, ROW).sortWithinPartitions(ROW)
+    # the lower 33 bits of such an id are the row's number in its partition
+    placed = stored(ranges.withColumn("__pid", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1))
+    counts = placed.groupBy("__pid").agg(F.max("__own").alias("__n"))  # a row per range
     earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__pid").orderBy(ROW))
-    return placed.withColumn("__own", own).join(offsets, "__pid").withColumn(name, F.col("__before") + F.col("__own")).drop("__pid", "__own", "__before")
+    return placed.join(F.broadcast(offsets), "__pid").withColumn(name, F.col("__before") + F.col("__own")).drop("__pid", "__own", "__before")
