@@ -321,6 +321,46 @@ def spatial_join_rejects(spark, sf):
     return joins.spatial_join(orders(spark, sf), parts(spark, sf), {}).filter("NOT __matched").select("o_orderkey")
 
 
+# A nation's coast: its strip of the map with a zigzag for its lower and upper border.
+COAST = "abs({x} % 20 - 10)"
+
+
+def coasts(spark, sf, *cols):
+    """Nations with outlines of two vertices for every ten units of the map's width."""
+    last = table(spark, sf, "part", "p_partkey").agg(F.max("p_partkey")).first()[0] or 0
+    x = geo.var("x")
+    xs = f"sequence(0L, {(last // 1000 + 1) * 1000}L, 10L)"
+
+    def border(above: int) -> str:
+        return f"transform({xs}, {x} -> {geo.vertex(as_double(x), as_double(f'n_nationkey * 40 + {above} + {COAST.format(x=x)}'))})"
+
+    start = f"array({geo.vertex('0D', as_double('n_nationkey * 40 + 10'))})"
+    outline = geo.polygon(f"array(concat({border(0)}, reverse({border(40)}), {start}))")
+    return keyed(table(spark, sf, "nation", "n_nationkey", *cols), "n_nationkey", outline)
+
+
+COASTS = "(SELECT *, n_nationkey * 40 AS low, ((SELECT max(p_partkey) FROM part) // 1000 + 1) * 1000 AS width FROM nation)"
+ON_LAND = f"x <= width AND y - {COAST.format(x='x')} BETWEEN low AND low + 40"
+INLAND = f"x > 0 AND x < width AND y - {COAST.format(x='x')} > low AND y - {COAST.format(x='x')} < low + 40"
+
+
+@query(f"""
+WITH n AS {COASTS}, m AS (SELECT x, y, arg_min(n_name, n_nationkey) AS nation FROM (SELECT DISTINCT x, y FROM {ORDERS}) JOIN n ON {ON_LAND} GROUP BY x, y)
+SELECT o_orderkey, nation FROM {ORDERS} LEFT JOIN m USING (x, y)""")
+def spatial_join_outlines(spark, sf):
+    """Points in polygons of very many edges."""
+    return joins.spatial_join(orders(spark, sf), coasts(spark, sf, "n_name"), {"nation": "n_name"}).select("o_orderkey", "nation")
+
+
+@query(f"""
+WITH n AS {COASTS}, m AS (SELECT n_nationkey, count(*) AS inland, CAST(sum(o_custkey) AS BIGINT) AS customers FROM {ORDERS} JOIN n ON {INLAND} GROUP BY n_nationkey)
+SELECT n_nationkey, coalesce(inland, 0) AS inland, customers FROM nation LEFT JOIN m USING (n_nationkey)""")
+def spatial_join_outlines_contain(spark, sf):
+    fields = {"inland": Aggregate("inland", how="count"), "customers": Aggregate("customers", "o_custkey", "sum")}
+    df = joins.spatial_join(coasts(spark, sf), orders(spark, sf, "o_custkey"), fields, predicate="contains", match="summarize")
+    return df.select("n_nationkey", "inland", "customers")
+
+
 @query(f"""
 WITH p AS {PARTS}, n AS {NATIONS} SELECT p_partkey, n_nationkey AS nation FROM p LEFT JOIN n ON x0 >= nx0 AND x1 <= nx1 AND y0 >= ny0 AND y1 <= ny1""")
 def spatial_join_within(spark, sf):

@@ -5,10 +5,13 @@ matches are found between distinct geometries and then joined back to the rows b
 id, so a third of all rows sharing one point costs that point once."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from . import strips
 from .aggregates import Aggregate, aggregate_column
 from .grid import geometry_id, grown, overlapping_pairs, shapes, stored
 from .nearest import CellTree, candidates
@@ -28,10 +31,44 @@ def _distinct_sources(source: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def _matching(base: DataFrame, source_shapes: DataFrame, predicate: str) -> DataFrame:
-    """Pairs (`l` a base shape, `r` a source shape) satisfying the predicate."""
+    """Pairs (`l` a base shape, `r` a source shape) satisfying the predicate. Points and detailed
+    polygons are matched by strips; their pairs come without `segs`, as they share no area."""
     left = shapes(base).drop("geom")
-    pairs = overlapping_pairs(left, source_shapes)
-    return pairs.filter(F.expr(geo.PREDICATES[predicate]("l.segs", "r.segs")))
+    sides = [df.withColumn("sort", F.expr(strips.sort_of_shape())) for df in (left, source_shapes)]
+    l_sorts, r_sorts = (df.agg(F.collect_set("sort")).first()[0] for df in sides)
+
+    def of(side: int, sorts) -> DataFrame:
+        return sides[side].filter(F.col("sort").isin(list(sorts))).drop("sort")
+
+    found = []
+    by_strips = {strips.POINT: strips.DETAILED, strips.DETAILED: strips.POINT}
+    plain = []  # sorts of the base's shapes, each with those it is matched with in the row
+    for sort in sorted(l_sorts):
+        other = by_strips.get(sort)
+        if other not in r_sorts:
+            plain.append((sort, frozenset(r_sorts)))
+            continue
+        plain.append((sort, frozenset(r_sorts) - {other}))
+        pairs = strips.located(*(of(0, [sort]), of(1, [other])) if sort == strips.POINT else (of(1, [other]), of(0, [sort])))
+        # a point can't contain a polygon, and one on its edge isn't within it
+        inner = {"within": strips.POINT, "contains": strips.DETAILED}.get(predicate)
+        if inner is None or sort == inner:
+            kept = pairs if inner is None else pairs.filter("at = 1")
+            l, r = ("l", "r") if sort == strips.POINT else ("r", "l")
+            found.append(kept.select(_without_segs(l, left).alias("l"), _without_segs(r, source_shapes).alias("r")))
+    for partners in sorted({p for _, p in plain if p}, key=sorted):
+        pairs = overlapping_pairs(of(0, [s for s, p in plain if p == partners]), of(1, partners))
+        found.append(pairs.filter(F.expr(geo.PREDICATES[predicate]("l.segs", "r.segs"))))
+    if not found:
+        found = [overlapping_pairs(left.limit(0), source_shapes.limit(0))]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _without_segs(name: str, like: DataFrame) -> Column:
+    """The struct `name` with the columns of `like`, null in place of `segs`."""
+    return F.struct(*[
+        F.lit(None).cast(like.schema[c].dataType).alias(c) if c == "segs" else F.col(f"{name}.{c}") for c in like.columns
+    ])
 
 
 def _with_matches(base: DataFrame, matches: DataFrame, outs: list[Column]) -> DataFrame:
@@ -82,7 +119,7 @@ def _largest_overlap(base: DataFrame, source: DataFrame, fields: dict, predicate
         .select(F.col("l.id").alias("id"), F.col("r.id").alias("rid"), "r.best", F.col("l.segs").alias("a"), F.col("r.segs").alias("b"))
         .withColumn("k", F.struct("id", "rid"))
     )
-    sized = pairs.select("k", "id", "best").join(pair_areas(pairs.select("k", "a", "b")), "k", "left")
+    sized = pairs.select("k", "id", "best").join(pair_areas(pairs.filter("a IS NOT NULL").select("k", "a", "b")), "k", "left")
     rank = F.struct(-F.coalesce(F.col("area"), F.lit(0.0)), F.col(f"best.{ROW}"))
     return sized.groupBy("id").agg(F.min_by("best", rank).alias("best"))
 
