@@ -4,8 +4,10 @@ The turns of a conversation lie on a line, each as long as its tokens; prefix su
 places. The line is cut into cells, and a window takes the turns that begin in one cell, so it
 holds whole turns and about as many tokens as the budget leaves for new ones. A turn longer
 than a cell is a window of its own. Every window also repeats the system turn the conversation
-opens with, and the turns just before it as far as they fit the history's budget. The loss mask
-covers the texts of the assistant's new turns only, so each of them is learned once.
+opens with (of a longer one its first `SYSTEM` tokens; all of it is in the first window), and the
+turns just before it as far as the history's budget and what is left of the whole allow. So no
+window exceeds the budget but one of a single new turn that leaves no room for the system turn.
+The loss mask covers the texts of the assistant's new turns only, so each of them is learned once.
 
 Template: `### role: text</turn>` and a line break for every turn. In roles and texts a
 backslash stands before every backslash, `### ` and `</turn>` (and `:` in roles), so that what
@@ -30,10 +32,11 @@ from pyspark.sql.window import Window
 
 from ..operators.grid import stored
 
-# Tokens (words and single marks) of a window, and of them those for repeated history.
-BUDGET, HISTORY = 512, 128
-# A cell's least length, however long the system turn is.
-LEAST_CELL = 64
+# Tokens (words and single marks) of a window, and of them those for repeated history and for the
+# repeated system turn.
+BUDGET, HISTORY, SYSTEM = 512, 128, 128
+# The least that may be left for new turns.
+LEAST_NEW = 2
 TOKEN = r"\w+|[^\w\s]"
 ROWS_PER_PART = 500_000
 
@@ -98,10 +101,12 @@ def _on_a_line(turns: DataFrame) -> DataFrame:
 
 
 def windows(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-            budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+            budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM) -> DataFrame:
     """A row per window: its conversation's id, window (the number of its first new turn), tokens,
     text, loss (spans of the text under the mask) and repeated (turns at its beginning that
-    earlier windows hold)."""
+    earlier windows hold; of a long system turn only the beginning is repeated)."""
+    if budget < history + system + LEAST_NEW:
+        raise ValueError(f"a budget of {budget} tokens leaves nothing for new turns beside {history} of history and {system} of a system turn")
     own = conversations[id_col]
     turns = conversations.select(
         F.when(own.isNull(), "null").otherwise(F.concat(F.lit("#"), own.cast("string"))).alias("conv"), own.alias("conv_id"),
@@ -109,16 +114,16 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "
         F.coalesce(conversations[text_col].cast("string"), F.lit("")).alias("text"),
     )
     line = stored(_on_a_line(turns))
-    system = line.filter("seq = 0 AND role = 'system'")
+    opens = F.expr("seq = 0 AND role = 'system'")
+    openings = line.filter(opens).select("conv", F.least("tokens", F.lit(system)).alias("kept"))
     # cells leave room for the history and the system turn; two fit what is left of the budget
-    cell = F.greatest(F.lit(LEAST_CELL), F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2)).cast("long")
     placed = stored(
-        line.join(system.select("conv", F.col("tokens").alias("system_tokens")), "conv", "left").withColumn("cell", cell)
-        .withColumn("at", F.expr("start DIV cell")).withColumn("big", F.expr("tokens > cell")).drop("system_tokens")
+        line.join(openings, "conv", "left").fillna(0, "kept").withColumn("cell", F.expr(f"({budget - history}L - kept) DIV 2"))
+        .withColumn("at", F.expr("start DIV cell")).withColumn("big", F.expr("tokens > cell"))
     )
     key = ["conv", "at", "big"]
-    starts = stored(placed.groupBy(*key).agg(F.min("start").alias("window_start")))
-    opens = F.expr("seq = 0 AND role = 'system'")
+    room = F.expr(f"greatest(0L, least({history}L, {budget}L - first(kept) - sum(tokens)))")  # for history
+    starts = stored(placed.groupBy(*key).agg(F.min("start").alias("window_start"), room.alias("room")))
     piece = [F.col(c) for c in (*key, "conv_id")]
 
     def pieces(df, kind):
@@ -127,9 +132,11 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "
     reach = F.expr(f"sequence((start + tokens) DIV cell, (start + {history}) DIV cell)")
     fits = placed.filter(~opens & (F.col("tokens") <= history))
     past = fits.drop("at", "big").withColumn("at", F.explode(reach)).join(starts, ["conv", "at"]).filter(
-        f"window_start >= start + tokens AND window_start <= start + {history}",
+        "window_start >= start + tokens AND window_start <= start + room",
     )
-    again = placed.filter(opens).drop("at", "big").join(starts, "conv").filter("window_start >= start + tokens")
+    first_tokens = F.regexp_extract("text", rf"^\s*+(?:(?:\w++|[^\w\s])\s*+){{0,{system - 1}}}", 0)
+    shortened = placed.filter(opens).withColumn("text", F.when(F.col("tokens") > system, first_tokens).otherwise(F.col("text")))
+    again = shortened.drop("at", "big").join(starts, "conv").filter("window_start >= start + tokens").withColumn("tokens", F.col("kept"))
     every = pieces(placed, 2).unionByName(pieces(past, 1)).unionByName(pieces(again, 0))
     # a window is bounded by its budget, or is a single turn
     made = every.groupBy(*key).agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("piece")).alias("pieces"))

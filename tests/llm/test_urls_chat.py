@@ -1,6 +1,7 @@
 """URL rules and chat windows against plain Python."""
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,7 @@ def conversations():
             role = "system" if t == 0 and c % 2 else ["user", "assistant"][t % 2]
             rows.append((c, t, role, prose(100 * c + t, r.choice([1, 5, 60, 300]))))
     rows += [(50, t, "assistant" if t % 2 else "user", f"turn {t} ### x </turn> \\ \\\\") for t in range(3000)]  # a hot conversation
+    rows += [(55, t, ["system", "user", "assistant"][t and 1 + t % 2], prose(t, 40 if t else 3000)) for t in range(60)]  # a system turn beyond the budget
     rows += [(60, 0, "system", prose(9, 900)), (60, 1, "user", None), (60, 2, "assistant", "ok"), (None, 1, None, "a: b"), (None, 0, "ro: le\\", "### user: </turn>\n")]
     return rows + [(70, 1, "assistant", "same"), (70, 1, "assistant", "same"), (70, None, "user", ""), (80, 0, "assistant", prose(3, 2000)), (80, 1, "system", "late")]
 
@@ -82,8 +84,12 @@ def test_windows(spark):
         turns += new[r["repeated"]:]
         loss += [chat.unescaped(r["text"][s["start"]:s["end"]]) for s in r["loss"]]
         own = len(new) - r["repeated"]
-        first_system = bool(r["repeated"]) and new[0][0] == "system"
-        assert r["tokens"] <= chat.BUDGET or own == 1 or first_system, r
+        lengths = [len(re.findall(chat.TOKEN, text, re.ASCII)) + 1 for _, text in new]
+        assert r["tokens"] == sum(lengths)
+        if r["tokens"] > chat.BUDGET:  # a single new turn, without history
+            assert own == 1 and r["repeated"] <= 1 and lengths[-1] > chat.BUDGET - chat.SYSTEM, r
+        if r["repeated"] and new[0][0] == "system":
+            assert lengths[0] <= chat.SYSTEM
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
@@ -94,7 +100,13 @@ def test_windows(spark):
     # history and system turn are repeated
     assert all(r["repeated"] for r in out if r["window"] and r["conv_id"] == 50)
     assert all(chat.parsed(r["text"])[0][0] == "system" for r in out if r["conv_id"] in (1, 3, 5, 60))
+    # a long system turn doesn't crowd out the new ones
+    rest = sum(len(re.findall(chat.TOKEN, text, re.ASCII)) + 1 for c, t, _, text in rows if c == 55 and t)
+    cell = (chat.BUDGET - chat.HISTORY - chat.SYSTEM) // 2
+    assert sum(r["conv_id"] == 55 for r in out) <= rest // cell + 3  # its cells, cut at both ends, and the system turn's own
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="nothing for new turns"):
+        chat.windows(df, budget=200)
 
 
 def test_digests_of_conversations(spark, tmp_path):
