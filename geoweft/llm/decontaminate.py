@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrow import slices, text_in, texts
 from .words import U, mix, powers, words
@@ -33,29 +34,42 @@ BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 2_000_000
 
 _PAIR = U(0xD6E8FEB86659FD93)
+_INVERSE = U(pow(int(_PAIR), -1, 2**64))  # odd numbers have one
 
 
-def _runs(tokens: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+class _Rolling:
+    """Hashes of all runs of any length, each from two prefix sums of a polynomial in the words:
+    a longer run costs no more than a short one."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(tokens * powers(_PAIR, n)[:n], dtype=U)])
+        self.back = powers(_INVERSE, n)[:n]  # shifts a run to the polynomial's lowest power
+
+    def runs(self, size: int) -> np.ndarray:
+        n = max(0, len(self.back) - size + 1)
+        return (self.sums[size:size + n] - self.sums[:n]) * self.back[:n]
+
+
+def _runs(rolling: _Rolling, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` free words, and where they begin."""
-    n = len(tokens) - size + 1
+    n = len(free) - size + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64)
     taken = np.concatenate([[0], np.cumsum(~free)])
     at = np.flatnonzero(taken[size:] == taken[:n])
-    out = np.zeros(n, U)
-    for j, p in enumerate(powers(_PAIR, size)):
-        out += tokens[j:n + j] * p
-    return mix(out[at]), at
+    return mix(rolling.runs(size)[at]), at
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles (start in the item, start in the text, length), longest matches first."""
     free_i, free_t = np.ones(len(item), bool), text != 0  # 0 marks a break between segments
+    rolling_i, rolling_t = _Rolling(item), _Rolling(text)
     laid: list[tuple[int, int, int]] = []
     size = len(item)
     while size >= least:
-        h_i, at_i = _runs(item, free_i, size)
-        h_t, at_t = _runs(text, free_t, size)
+        h_i, at_i = _runs(rolling_i, free_i, size)
+        h_t, at_t = _runs(rolling_t, free_t, size)
         placed = False
         if len(h_i) and len(h_t):
             order = np.argsort(h_t, kind="stable")
@@ -72,13 +86,13 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[i
                         placed = True
                         break
         # runs of this length are used up; the next shorter ones follow
-        size = size - 1 if placed or size <= 2 * least else max(least, size // 2) if not _any_longer(item, text, free_i, free_t, max(least, size // 2)) else size - 1
+        size = size - 1 if placed or size <= 2 * least else max(least, size // 2) if not _any_longer(rolling_i, rolling_t, free_i, free_t, max(least, size // 2)) else size - 1
     return laid
 
 
-def _any_longer(item, text, free_i, free_t, size) -> bool:
+def _any_longer(rolling_i, rolling_t, free_i, free_t, size) -> bool:
     """Whether some match has `size` words or more; if none has, lengths down to it are skipped."""
-    return bool(np.isin(_runs(item, free_i, size)[0], _runs(text, free_t, size)[0]).any())
+    return bool(np.isin(_runs(rolling_i, free_i, size)[0], _runs(rolling_t, free_t, size)[0]).any())
 
 
 class _Block:
@@ -91,20 +105,18 @@ class _Block:
         # an item shorter than a seed is a single run of its own length
         self.seeds = []
         for size in sorted({min(SEED, len(t)) for t in self.tokens if len(t)}):
-            pairs = [(h, k) for k, t in enumerate(self.tokens) if min(SEED, len(t)) == size for h in _runs(t, np.ones(len(t), bool), size)[0].tolist()]
+            pairs = [(h, k) for k, t in enumerate(self.tokens) if min(SEED, len(t)) == size for h in mix(_Rolling(t).runs(size)).tolist()]
             pairs = sorted(set(pairs))
             self.seeds.append((size, np.array([h for h, _ in pairs], U), np.array([k for _, k in pairs], np.int64)))
 
     def found_in(self, hashes: np.ndarray, doc: np.ndarray):
         """(text, item, places of their shared runs, length of a run) of every pair that shares any."""
+        rolling = _Rolling(hashes)
         for size, seeds, items in self.seeds:
             n = len(hashes) - size + 1
             if n <= 0:
                 continue
-            run = np.zeros(n, U)
-            for j, p in enumerate(powers(_PAIR, size)):
-                run += hashes[j:n + j] * p
-            run = mix(run)
+            run = mix(rolling.runs(size))
             low = np.searchsorted(seeds, run)
             hit = (seeds[np.minimum(low, len(seeds) - 1)] == run) & (doc[:n] == doc[size - 1:])
             at = np.flatnonzero(hit)
@@ -130,7 +142,7 @@ def _covered(block: _Block, item: int, hashes: np.ndarray, places: np.ndarray, s
     return sum(length for _, _, length in laid) / len(tokens), len(laid)
 
 
-def _matches(batches, block, coverage):
+def _matches(batches, block, coverage, item_type):
     known = _Block(*block.value)
     for batch in slices(batches):
         found = words(texts(batch))
@@ -143,7 +155,7 @@ def _matches(batches, block, coverage):
                 shares.append(share)
                 numbers.append(number)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(shares, pa.float64()), pa.array(numbers, pa.int32())],
+            [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(items, item_type), pa.array(shares, pa.float64()), pa.array(numbers, pa.int32())],
             ["id", "item_id", "coverage", "tiles"])
 
 
@@ -165,8 +177,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     item_texts: list[str] = []
     total = 0
     rows = benchmark.select(benchmark[item_col].alias("id"), benchmark[text_col].cast("string").alias("text")).filter("text IS NOT NULL")
-    for row in rows.toLocalIterator():
-        size = row.text.count(" ") + 1
+    for row in rows.withColumn("words", F.regexp_count("text", F.lit(r"(?U)\w+"))).toLocalIterator():
+        size = row.words
         if ids and (len(ids) >= BLOCK_ITEMS or total + size > BLOCK_WORDS):
             yield ids, item_texts
             ids, item_texts, total = [], [], 0
@@ -183,11 +195,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words that tiles cover, and the number of tiles."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item_id long, coverage double, tiles int"
+    item_type = benchmark.schema[item_col].dataType
+    schema = f"id {kind}, item_id {item_type.simpleString()}, coverage double, tiles int"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.unionByName(rows.mapInArrow(partial(_matches, block=sent, coverage=coverage), schema))
+        out = out.unionByName(rows.mapInArrow(partial(_matches, block=sent, coverage=coverage, item_type=to_arrow_type(item_type)), schema))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -166,6 +166,28 @@ def test_tiles_equal_plain_tiling():
         assert len({p for i, _, n in laid for p in range(i, i + n)}) == sum(n for *_, n in laid)
 
 
+def test_rolled_hashes_equal_sums_over_each_run():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 7, 400):
+        tokens = r.integers(0, 2**64, n, np.uint64)
+        rolling = decontaminate._Rolling(tokens)
+        for size in {1, 2, 5, n, n + 1} - {0}:
+            want = [sum(int(t) * pow(int(decontaminate._PAIR), j, 2**64) for j, t in enumerate(tokens[i:i + size])) % 2**64 for i in range(n - size + 1)]
+            assert rolling.runs(size).tolist() == want
+
+
+def test_items_with_text_ids_in_several_blocks(spark, monkeypatch):
+    """Blocks are cut by words, whatever stands between them."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    items = [(f"item {k}", prose(7000 + k, 30).replace(" ", "\n\t")) for k in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    assert [len(ids) for ids, _ in decontaminate._blocks(benchmark, "item_id", "text")] == [1] * 6
+    df = spark.createDataFrame([(k, prose(k, 20) + " " + prose(7000 + k, 30)) for k in range(8)], "doc_id long, text string")
+    got = decontaminate.contaminated(df, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, f"item {k}") for k in range(6)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(df, benchmark).collect()) == [6, 7]
+
+
 def test_decontamination(spark, odd, empty, monkeypatch):
     items = [(k, prose(5000 + k, 30)) for k in range(7)] + [(50, None), (51, ""), (52, "tiny item"), (53, prose(5000, 30))]
     benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, id string")
