@@ -366,7 +366,8 @@ def simplify(df: DataFrame, tolerance: float, shared_boundaries: bool = False, k
         return one_by_one(df)
     df = stored(df)
     shared = _simplified_coverage(df.filter(F.expr(geo.is_polygon("geom"))).select(ROW, "geom"), tol, keep_outer_boundary)
-    polys = df.join(shared, ROW, "left").filter(F.expr(geo.is_polygon("geom"))).withColumn("geom", F.expr(
+    # merged: what is stored is far smaller than its rows, and would be broadcast at any size
+    polys = df.join(shared.hint("merge"), ROW, "left").filter(F.expr(geo.is_polygon("geom"))).withColumn("geom", F.expr(
         f"CASE WHEN __parts IS NULL THEN geom ELSE {geo._geometry('geom.kind', '__parts')} END"))
     rest = df.filter(f"geom IS NULL OR NOT {geo.is_polygon('geom')}")
     return polys.select(*df.columns).unionByName(one_by_one(rest))
@@ -387,7 +388,7 @@ def _simplified_coverage(polys: DataFrame, tol: float, keep_outer: bool) -> Data
         ROW, "p", "q", "c.i", "c.x", "c.y", F.expr("struct(least(c.u, c.w) AS a, greatest(c.u, c.w) AS b)").alias("pair")))
     kinds = corners.groupBy("x", "y").agg(
         F.expr("min(pair) <> max(pair)").alias("junction"), F.count(F.lit(1)).alias("rings"))
-    marked = corners.drop("pair").join(kinds, ["x", "y"]).groupBy(ROW, "p", "q").agg(
+    marked = corners.drop("pair").join(kinds.hint("merge"), ["x", "y"]).groupBy(ROW, "p", "q").agg(
         F.expr("array_sort(collect_list(named_struct('i', i, 'x', x, 'y', y, 'junction', junction, 'rings', rings)))").alias("v"))
 
     @F.arrow_udf(geo.RING)
