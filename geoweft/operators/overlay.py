@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as geo
+from ..functions import faces as row_faces
 from ..functions import kernels, noding, planar
 from ..functions.wkb import GEOMETRY_ARROW, PART_ARROW
 from .chains import assembled, closed_rings
@@ -24,6 +25,12 @@ from .grid import grown, overlapping_pairs, stored
 # is put in order by joins first.
 ROW_EDGES = 200_000
 
+# Groups of polygons worked on by a task, and the fewest worth a task of their own.
+ROWS_PER_TASK = 10_000
+LEAST_ROWS_PER_TASK = 500
+# Edges of a group of polygons up to which its union or difference happens within a row.
+ROW_FACES = 2_000
+
 EDGE = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
 
@@ -109,6 +116,56 @@ def intersections(pairs: DataFrame) -> DataFrame:
     )).drop("__a", "__b", "__inv", "__dim", "__edges", "__areas", "__parts")
 
 
+# ---- within a row: the few polygons of a group -------------------------------
+
+def spread(rows: DataFrame, count: int) -> DataFrame:
+    """Rows that cost a task far more than their bytes tell, over tasks by their number."""
+    spark = rows.sparkSession
+    return rows.repartition(max(1, count // ROWS_PER_TASK, min(spark.sparkContext.defaultParallelism, count // LEAST_ROWS_PER_TASK)))
+
+
+def face(side: str, parts: str) -> str:
+    """A polygon of a group held by a row (`bounded`)."""
+    return f"named_struct('side', {side}, 'parts', {parts})"
+
+
+def bounded(rows: DataFrame, inverse: str, subtract: bool) -> DataFrame:
+    """Rows (`k`, `faces`) as (`k`, `parts`): the union of each row's polygons or, with `subtract`,
+    those of side `a` without those of side `b`. Where nothing is left there is no row."""
+    cells = float(inverse.rstrip("D"))
+
+    @F.arrow_udf(T.ArrayType(geo.PART_TYPE))
+    def polygons(faces: pa.Array, _same: pa.Array) -> pa.Array:
+        kind = pa.list_(PART_ARROW)
+        done = [pa.array(kernels.polygons_from_edges(row_faces.boundaries(some, cells, subtract)), kind) for some in row_faces.batches(faces)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
+
+    polygons = polygons.asNondeterministic()  # computed once, behind the argument's expression
+    return rows.select("k", polygons("faces", "faces").alias("parts")).filter("size(parts) > 0")
+
+
+def _in_rows(rows: DataFrame, subtract: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows (`k`, `side`, `geom`): the results of groups that a row can hold, and the rows of the
+    others; None where there are none."""
+    rows = stored(rows.filter("size(geom.parts) > 0").select("k", "side", "geom"))
+    p = geo.var("p")
+    solid = f"forall(geom.parts, {p} -> {p}.dim = 2)"
+    edges = f"CASE WHEN {solid} THEN size({geo.vertices('geom')}) ELSE {ROW_FACES + 1} END"
+    sized = rows.groupBy("k").agg(F.sum(F.expr(edges)).alias("n")).withColumn("large", F.col("n") > ROW_FACES)
+    groups = stored(sized.select("k", "large"))
+    large, every = groups.agg(F.count_if("large"), F.count(F.lit(1))).first()
+    if every and large == every:
+        return None, rows
+    small = rows.join(groups.filter("large").hint("merge"), "k", "left_anti") if large else rows
+    packed = small.groupBy("k").agg(F.collect_list(F.expr(face("side", "geom.parts"))).alias("faces"))
+    result = bounded(spread(packed, every - large), precision_grid(rows.select(F.expr(geo.bbox("geom")).alias("box"))), subtract)
+    return result, rows.join(groups.filter("large").hint("merge"), "k", "left_semi") if large else None
+
+
+def _both(small: DataFrame | None, large: DataFrame | None) -> DataFrame:
+    return large if small is None else small if large is None else small.unionByName(large)
+
+
 # ---- across rows: the edges of a group ---------------------------------------
 
 def _cut_edges(edges: DataFrame, inverse: str) -> DataFrame:
@@ -172,9 +229,10 @@ def _faces(rows: DataFrame) -> tuple[DataFrame, str]:
     return faces.withColumn("segs", F.expr(noding.on_grid_segments("segs", inverse))), inverse
 
 
-def precision_grid(boxed: DataFrame) -> str:
+def precision_grid(boxed: DataFrame, margin: float = 0.0) -> str:
+    """The precision grid for shapes reaching as far as `margin` out of their boxes."""
     largest = boxed.agg(F.max(F.expr("greatest(abs(box.xmin), abs(box.ymin), abs(box.xmax), abs(box.ymax))"))).first()[0]
-    return f"1e{min(12, 14 - math.ceil(math.log10(max(largest or 1.0, 1.0))))}D"
+    return f"1e{min(12, 14 - math.ceil(math.log10(max((largest or 1.0) + margin, 1.0))))}D"
 
 
 def _edge_rows(faces: DataFrame) -> DataFrame:
@@ -191,7 +249,8 @@ def _labelled_pieces(faces: DataFrame, inverse: str) -> DataFrame:
 
 def union_parts(rows: DataFrame) -> DataFrame:
     """(`k`, `parts`): the union of the polygons of each group `k` (rows `k`, `geom`)."""
-    return rings(union_edges(rows))
+    small, large = _in_rows(rows.withColumn("side", F.lit("a")), subtract=False)
+    return _both(small, None if large is None else rings(union_edges(large)))
 
 
 def union_edges(rows: DataFrame) -> DataFrame:
@@ -205,6 +264,11 @@ def union_edges(rows: DataFrame) -> DataFrame:
 
 def difference_parts(rows: DataFrame) -> DataFrame:
     """(`k`, `parts`): each group's side `a` polygon minus all its side `b` polygons."""
+    small, large = _in_rows(rows, subtract=True)
+    return _both(small, None if large is None else rings(_difference_edges(large)))
+
+
+def _difference_edges(rows: DataFrame) -> DataFrame:
     faces, inverse = _faces(rows)
     pieces = _labelled_pieces(faces, inverse)
     # an edge of `a` is looked at on its inside, an edge of `b` on its outside
@@ -212,10 +276,9 @@ def difference_parts(rows: DataFrame) -> DataFrame:
     rx, ry = noding.beside("e", -1)
     x, y = (f"CASE WHEN side = 'a' THEN {a} ELSE {b} END" for a, b in ((lx, rx), (ly, ry)))
     seen = pieces.join(_probe(pieces, faces, x, y), ["h", "k", "pid"], "left")
-    kept = seen.filter("coalesce(in_a, false) AND NOT coalesce(in_b, false)").select("k", F.expr(
+    return seen.filter("coalesce(in_a, false) AND NOT coalesce(in_b, false)").select("k", F.expr(
         "CASE WHEN side = 'a' THEN e ELSE named_struct('x1', e.x2, 'y1', e.y2, 'x2', e.x1, 'y2', e.y1) END"
     ).alias("e"))
-    return rings(kept)
 
 
 def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -9,7 +9,7 @@ from ..functions import noding
 from .aggregates import Aggregate, aggregate_column
 from .grid import geometry_id, overlapping_pairs, shapes, stored
 from .joins import ROW, _matching, free_names
-from .overlay import difference_parts, hole_rings, intersections, union_edges, union_parts
+from .overlay import ROW_FACES, bounded, difference_parts, face, hole_rings, intersections, precision_grid, spread, union_edges, union_parts
 
 
 def _geometry_pairs(base: DataFrame, source: DataFrame, predicate: str) -> DataFrame:
@@ -186,6 +186,10 @@ def dissolve(df: DataFrame, by: list, aggregates: list[Aggregate]) -> DataFrame:
 
 # ---- buffer -----------------------------------------------------------------
 
+# Edges of the outline around a segment (`_capsule`).
+CAPSULE_EDGES = 34
+
+
 def buffer(df: DataFrame, distance: float, key: str = ROW) -> DataFrame:
     """Points become 32-gons; other shapes their union with a capsule around every segment,
     or, with a negative distance, polygons lose the capsules along their edges."""
@@ -197,20 +201,33 @@ def buffer(df: DataFrame, distance: float, key: str = ROW) -> DataFrame:
     single = "geom.kind = 'POINT' AND size(geom.parts) = 1"
     around = f"CASE WHEN size(geom.parts) = 0 THEN {empty} WHEN {single} THEN {circle if distance > 0 else empty} ELSE geom END"
     pending = f"(size(geom.parts) > 0 AND NOT ({single}) AND ({'true' if distance > 0 else geo.is_polygon('geom')}))"
-    rest = shapes(df.filter(F.expr(pending)).select("geom")).select(F.col("id").alias("k"), "geom", "segs")
+    rest = shapes(df.filter(F.expr(pending)).select("geom")).select(F.col("id").alias("k"), "geom", "segs", "box")
     if rest.isEmpty():
         thin = f"CASE WHEN geom IS NULL THEN NULL ELSE {around} END" if distance > 0 else (
             f"CASE WHEN geom IS NULL THEN NULL WHEN NOT {geo.is_polygon('geom')} THEN {empty} ELSE geom END")
         return df.withColumn("geom", F.expr(thin))
-    hulls = rest.select("k", F.explode("segs").alias("s")).select("k", F.expr(_capsule("s", r)).alias("geom")).distinct()
-    if distance > 0:
-        solid = rest.filter(F.expr(geo.is_polygon("geom"))).select("k", "geom")
-        grown_shape = union_geometry(hulls.unionByName(solid))
-    else:
-        both = rest.select("k", "geom", F.lit("a").alias("side")).unionByName(hulls.withColumn("side", F.lit("b")))
-        grown_shape = stored(difference_parts(both)).select("k", F.expr(geo.from_parts("parts")).alias("geom"))
+    # a shape of few segments holds its capsules itself; those of the others are rows
+    # (merged and spread: what is stored is far smaller than its rows and the work on them)
+    few, side, s = f"size(segs) <= {ROW_FACES // CAPSULE_EDGES}", "'a'" if distance > 0 else "'b'", geo.var("s")
+    capsules = f"transform(segs, {s} -> {face(side, f'({_capsule(s, r)}).parts')})"
+    own = face("'a'", "geom.parts")
+    faces = f"CASE WHEN {geo.is_polygon('geom')} THEN concat({capsules}, array({own})) ELSE {capsules} END"
+    held = spread(rest.filter(few), rest.count()).select("k", F.expr(faces).alias("faces"))
+    parts = bounded(held, precision_grid(rest, abs(float(distance))), subtract=distance < 0)
+    grown_shape = parts.select("k", F.expr(geo.from_parts("parts")).alias("geom"))
+    rest = rest.filter(f"NOT ({few})")
+    if not rest.isEmpty():
+        hulls = rest.select("k", F.explode("segs").alias("s")).select("k", F.expr(_capsule("s", r)).alias("geom")).distinct()
+        if distance > 0:
+            solid = rest.filter(F.expr(geo.is_polygon("geom"))).select("k", "geom")
+            large = union_geometry(hulls.unionByName(solid))
+        else:
+            both = rest.select("k", "geom", F.lit("a").alias("side")).unionByName(hulls.withColumn("side", F.lit("b")))
+            large = difference_parts(both).select("k", F.expr(geo.from_parts("parts")).alias("geom"))
+        grown_shape = grown_shape.unionByName(large)
+    grown_shape = stored(grown_shape)
     found = grown_shape.select(F.col("k").alias("__gid"), F.col("geom").alias("__grown"))
-    joined = df.withColumn("__gid", F.when(F.expr(pending), geometry_id(F.col("geom")))).join(found, "__gid", "left")
+    joined = df.withColumn("__gid", F.when(F.expr(pending), geometry_id(F.col("geom")))).join(found.hint("merge"), "__gid", "left")
     new = (
         f"CASE WHEN geom IS NULL THEN NULL WHEN __gid IS NOT NULL THEN coalesce(__grown, {empty}) "
         f"WHEN size(geom.parts) = 0 OR {'false' if distance > 0 else 'true'} THEN {empty} ELSE {around} END"
