@@ -7,6 +7,11 @@ import math
 import numpy as np
 import pyarrow as pa
 
+from .wkb import PART_ARROW
+
+# Edges from which on the rows followed so far are turned back into Arrow's.
+BATCH_EDGES = 20_000
+
 
 def follow_edges(edges: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float]]]:
     """Closed rings from directed edges with the inside on their left. Where several edges
@@ -98,14 +103,15 @@ def nest_rings(rings) -> list[list]:
 
 
 def polygons_from_edges(edges: pa.Array) -> pa.Array:
-    """Per row: directed edges to the polygon parts they bound."""
-    offsets = edges.offsets.to_numpy()
-    flat = edges.values
+    """Per row: directed edges to the polygon parts they bound. One row's edges at a time are
+    Python's, as a boundary may be long and a batch hold many."""
+    kind = pa.list_(PART_ARROW)
+    flat = edges.flatten()
     cols = [flat.field(n).to_numpy(zero_copy_only=False) for n in ("x1", "y1", "x2", "y2")]
-    table = np.stack(cols, axis=1).tolist() if len(flat) else []
-    result = []
-    for i in range(len(edges)):
-        rows = [tuple(e) for e in table[offsets[i]:offsets[i + 1]]]
+    ends = np.concatenate([[0], np.cumsum(np.diff(edges.offsets.to_numpy()))])
+    done, waiting, size = [], [], 0
+    for a, b in zip(ends, ends[1:]):
+        rows = list(zip(*[c[a:b].tolist() for c in cols]))
         parts = []
         for polygon in nest_rings(follow_edges(rows)):
             rings = [r for r in map(straight, polygon) if len(r) > 2]
@@ -113,8 +119,12 @@ def polygons_from_edges(edges: pa.Array) -> pa.Array:
                 parts.append({"dim": 2, "rings": [
                     [{"x": x, "y": y, "z": None} for x, y in r + r[:1]] for r in rings
                 ]})
-        result.append(parts)
-    return result
+        waiting.append(parts)
+        size += b - a
+        if size > BATCH_EDGES:
+            done.append(pa.array(waiting, kind))
+            waiting, size = [], 0
+    return pa.concat_arrays([*done, pa.array(waiting, kind)])
 
 
 def simple_loops(loops: pa.Array) -> list[list[list[dict]]]:

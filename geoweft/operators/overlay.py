@@ -36,7 +36,7 @@ EDGE = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 
 @F.arrow_udf(T.ArrayType(geo.PART_TYPE))
 def _polygons_from_edges(edges: pa.Array, _same: pa.Array) -> pa.Array:
-    return pa.array(kernels.polygons_from_edges(edges), pa.list_(PART_ARROW))
+    return kernels.polygons_from_edges(edges)
 
 
 _polygons_from_edges = _polygons_from_edges.asNondeterministic()
@@ -136,9 +136,8 @@ def bounded(rows: DataFrame, inverse: str, subtract: bool) -> DataFrame:
 
     @F.arrow_udf(T.ArrayType(geo.PART_TYPE))
     def polygons(faces: pa.Array, _same: pa.Array) -> pa.Array:
-        kind = pa.list_(PART_ARROW)
-        done = [pa.array(kernels.polygons_from_edges(row_faces.boundaries(some, cells, subtract)), kind) for some in row_faces.batches(faces)]
-        return pa.concat_arrays(done) if done else pa.array([], kind)
+        done = [kernels.polygons_from_edges(row_faces.boundaries(some, cells, subtract)) for some in row_faces.batches(faces)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(PART_ARROW))
 
     polygons = polygons.asNondeterministic()  # computed once, behind the argument's expression
     return rows.select("k", polygons("faces", "faces").alias("parts")).filter("size(parts) > 0")

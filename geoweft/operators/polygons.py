@@ -40,7 +40,7 @@ def clip(base: DataFrame, source: DataFrame, predicate: str = "intersects") -> D
         .join(masks.select(F.col("id").alias("bid"), F.col("geom").alias("b")), "bid")
     )
     cut = intersections(pairs).filter("size(geom.parts) > 0").select(F.col("aid").alias("__gid"), F.col("geom").alias("__clipped"))
-    joined = base.withColumn("__gid", geometry_id(F.col("geom"))).join(cut, "__gid", "left")
+    joined = base.withColumn("__gid", geometry_id(F.col("geom"))).join(cut.hint("merge"), "__gid", "left")
     return joined.select(
         *[F.coalesce("__clipped", "geom").alias("geom") if c == "geom" else F.col(geo.quote(c)) for c in base.columns],
         F.col("__clipped").isNotNull().alias("__matched"),
@@ -92,8 +92,8 @@ def erase(base: DataFrame, source: DataFrame, predicate: str = "intersects") ->
     keyed = base.filter("size(geom.parts) > 0").withColumn("__gid", geometry_id(F.col("geom")))
     if left_over is None:
         return keyed.select(*base.columns)
-    joined = keyed.join(stored(touched).select(F.col("k").alias("__gid"), F.lit(True).alias("__hit")), "__gid", "left").join(
-        stored(left_over).select(F.col("k").alias("__gid"), "parts"), "__gid", "left",
+    joined = keyed.join(stored(touched).select(F.col("k").alias("__gid"), F.lit(True).alias("__hit")).hint("merge"), "__gid", "left").join(
+        stored(left_over).select(F.col("k").alias("__gid"), "parts").hint("merge"), "__gid", "left",
     )
     return joined.filter("__hit IS NULL OR size(parts) > 0").withColumn(
         "geom", F.expr(f"CASE WHEN __hit THEN {geo.from_parts('parts')} ELSE geom END"),
@@ -293,7 +293,7 @@ def eliminate_slivers(
     takers = rows.join(target.select(F.col("t").alias(ROW)).distinct(), ROW, "left_semi").select(F.col(ROW).alias("k"), "geom")
     grown_shape = union_geometry(eaten.unionByName(takers)).select(F.col("k").alias(ROW), F.col("geom").alias("__grown"))
     return (
-        rows.join(target.select(F.col("s").alias(ROW)), ROW, "left_anti").join(grown_shape, ROW, "left")
+        rows.join(target.select(F.col("s").alias(ROW)), ROW, "left_anti").join(grown_shape.hint("merge"), ROW, "left")
         .withColumn("geom", F.coalesce("__grown", "geom")).select(*df.columns)
     )
 
@@ -320,7 +320,7 @@ def clean_coverage(df: DataFrame, snap_distance: float | None = None, max_gap_wi
         cleared = stored(_gaps_filled(cleared, max_gap_width))
     result = cleared.select(F.col("row").alias(ROW), F.col("geom").alias("__new"))
     empty = geo._geometry("geom.kind", "array()")
-    joined = rows.join(result, ROW, "left")
+    joined = rows.join(result.hint("merge"), ROW, "left")
     was_polygon = f"{geo.is_polygon('geom')} AND size(geom.parts) > 0"
     as_kind = f"CASE WHEN size(__new.parts) = 0 THEN {empty} WHEN geom.kind = 'MULTIPOLYGON' THEN {geo._geometry(repr('MULTIPOLYGON'), '__new.parts')} ELSE __new END"
     return joined.withColumn("geom", F.expr(f"CASE WHEN {was_polygon} THEN {as_kind} ELSE geom END")).select(*df.columns)
@@ -389,7 +389,7 @@ def _without_overlaps(polys: DataFrame) -> DataFrame:
     left = stored(difference_parts(a.unionByName(b)))
     hit = pairs.select(F.col("k").alias("row"), F.lit(True).alias("hit")).distinct()
     empty = geo._geometry("'POLYGON'", "array()")
-    return polys.join(hit, "row", "left").join(left.select(F.col("k").alias("row"), "parts"), "row", "left").select("row", F.expr(
+    return polys.join(hit.hint("merge"), "row", "left").join(left.select(F.col("k").alias("row"), "parts").hint("merge"), "row", "left").select("row", F.expr(
         f"CASE WHEN hit IS NULL THEN geom WHEN size(parts) > 0 THEN {geo.from_parts('parts')} ELSE {empty} END").alias("geom"))
 
 

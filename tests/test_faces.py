@@ -1,8 +1,13 @@
 """Unions and differences within a row, and joins of stored tables that mustn't be broadcast."""
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geoweft.functions import geometry as geo
+from geoweft.functions import kernels
 from geoweft.operators import lines, overlay, polygons
 
 SQUARE = "POLYGON((0 0,10 0,10 10,0 10,0 0))"
@@ -26,6 +31,11 @@ def test_buffer_merges_what_it_grew(features):
     assert "Broadcast" not in plan(polygons.buffer(features(SHAPES), 2.0))
 
 
+def test_cleaned_coverage_is_merged(features):
+    df = features([("a", SQUARE), ("b", "POLYGON((9 0,20 0,20 10,9 10,9 0))")])
+    assert "Broadcast" not in plan(polygons.clean_coverage(df))
+
+
 @pytest.mark.parametrize("distance", [2.0, -2.0])
 def test_buffer_of_few_segments_stays_in_its_row(features, shown, monkeypatch, distance):
     found = shown(polygons.buffer(features(SHAPES), distance), "name")
@@ -59,3 +69,19 @@ def test_groups_of_few_edges_stay_in_their_rows(features, monkeypatch):
     monkeypatch.setattr(overlay, "_cut_edges", None)
     assert results() == mixed
     assert mixed[1] == [("0", 71.0, 1), ("2", 71.0, 1), ("3", 4.0, 1)]
+
+
+def test_long_boundaries_are_followed_one_at_a_time():
+    n, rows = 5_000, 20
+    at = np.arange(n) * 2 * np.pi / n
+    x, y = np.cos(at), np.sin(at)
+    ends = [np.tile(c, rows) for c in (x, y, np.roll(x, -1), np.roll(y, -1))]
+    edges = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * n, pa.StructArray.from_arrays([pa.array(c) for c in ends], ["x1", "y1", "x2", "y2"]))
+    tracemalloc.start()
+    try:
+        found = pa.array(kernels.polygons_from_edges(edges))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [len(parts) for parts in found] == [1] * rows
+    assert peak < 200 * n * rows  # bytes; all at once took 400 an edge
