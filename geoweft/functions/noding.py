@@ -80,18 +80,24 @@ def cuts(s: str, e: str, inverse: str | None = None) -> str:
 
 def cut_up(s: str, others: str, inverse: str | None = None) -> str:
     """The pieces of segment `s` between its cuts by the segments `others`."""
-    e, c, i = var("e"), var("c"), var("i")
+    e, c, i, v = var("e"), var("c"), var("i"), var("v")
     inner = f"flatten(transform({others}, {e} -> {cuts(s, e, inverse)}))"
-    marks = (
-        f"array_sort(concat(array(named_struct('t', 0D, 'x', {s}.x1, 'y', {s}.y1)), {inner}, "
-        f"array(named_struct('t', 1D, 'x', {s}.x2, 'y', {s}.y2))))"
-    )
-    v = var("v")
+    whole = f"named_struct('d', {s}.d, 'x1', {s}.x1, 'y1', {s}.y1, 'x2', {s}.x2, 'y2', {s}.y2)"
     pieces = (
         f"transform(sequence(0, size({c}) - 2), {i} -> named_struct('d', {s}.d, 'x1', {c}[{i}].x, 'y1', {c}[{i}].y, "
         f"'x2', {c}[{i} + 1].x, 'y2', {c}[{i} + 1].y))"
     )
-    return let(marks, lambda m: f"transform(array({m}), {c} -> filter({pieces}, {v} -> {v}.x1 <> {v}.x2 OR {v}.y1 <> {v}.y2))[0]")
+    long = f"{v} -> {v}.x1 <> {v}.x2 OR {v}.y1 <> {v}.y2"
+
+    def between(found: str) -> str:
+        marks = (
+            f"array_sort(concat(array(named_struct('t', 0D, 'x', {s}.x1, 'y', {s}.y1)), {found}, "
+            f"array(named_struct('t', 1D, 'x', {s}.x2, 'y', {s}.y2))))"
+        )
+        # most segments aren't cut: there is nothing to put in order
+        return f"CASE WHEN size({found}) = 0 THEN filter(array({whole}), {long}) ELSE transform(array({marks}), {c} -> filter({pieces}, {long}))[0] END"
+
+    return let(inner, between)
 
 
 def beside(e: str, sign: int) -> tuple[str, str]:
@@ -107,12 +113,17 @@ def beside(e: str, sign: int) -> tuple[str, str]:
 def inside_edges(a: str, b: str, inverse: str | None = None) -> str:
     """Pieces of `a`'s polygon edges (inside on their left) with polygon `b` on their left."""
     s, p = var("s"), var("p")
-    x, y = beside(p, 1)
     return (
-        f"flatten(transform({a}, {s} -> filter({cut_up(s, b, inverse)}, {p} -> {location(b, x, y)} = 1)))"
+        f"flatten(transform({a}, {s} -> filter({cut_up(s, b, inverse)}, {p} -> {location_beside(b, p)} = 1)))"
     )
 
 
+def location_beside(segs: str, e: str) -> str:
+    """Where the point just left of the middle of segment `e` lies (`location`), computed once."""
+    x, y = beside(e, 1)
+    return let(f"named_struct('x', {x}, 'y', {y})", lambda q: location(segs, f"{q}.x", f"{q}.y"))
+
+
 def line_pieces(a: str, b: str, keep_inside: bool = True) -> str:
     """Pieces of `a`'s line segments lying in (or on) `b`, or outside it."""
     s, p = var("s"), var("p")

@@ -112,14 +112,15 @@ def spatial_join(
 
 
 def _largest_overlap(base: DataFrame, source: DataFrame, fields: dict, predicate: str) -> DataFrame:
-    from .overlay import pair_areas
+    from .overlay import pair_areas, spread
 
     pairs = stored(
         _matching(base, _distinct_sources(source, fields), predicate)
         .select(F.col("l.id").alias("id"), F.col("r.id").alias("rid"), "r.best", F.col("l.segs").alias("a"), F.col("r.segs").alias("b"))
         .withColumn("k", F.struct("id", "rid"))
     )
-    sized = pairs.select("k", "id", "best").join(pair_areas(pairs.filter("a IS NOT NULL").select("k", "a", "b")), "k", "left")
+    areas = pair_areas(spread(pairs.filter("a IS NOT NULL").select("k", "a", "b"), pairs.count()))
+    sized = pairs.select("k", "id", "best").join(areas, "k", "left")
     rank = F.struct(-F.coalesce(F.col("area"), F.lit(0.0)), F.col(f"best.{ROW}"))
     return sized.groupBy("id").agg(F.min_by("best", rank).alias("best"))
 

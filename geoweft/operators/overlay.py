@@ -88,9 +88,8 @@ def pair_areas(pairs: DataFrame) -> DataFrame:
 def _reoriented(segs: str) -> str:
     """Flat segments with polygon edges turned to have the inside on their left."""
     e = geo.var("e")
-    x, y = noding.beside(e, 1)
     return (
-        f"transform({segs}, {e} -> CASE WHEN {e}.d = 2 AND {geo.location(segs, x, y)} <> 1 THEN "
+        f"transform({segs}, {e} -> CASE WHEN {e}.d = 2 AND {noding.location_beside(segs, e)} <> 1 THEN "
         f"named_struct('d', {e}.d, 'x1', {e}.x2, 'y1', {e}.y2, 'x2', {e}.x1, 'y2', {e}.y1) ELSE {e} END)"
     )
 

@@ -30,7 +30,7 @@ def clip(base: DataFrame, source: DataFrame, predicate: str = "intersects") -> D
         .select("id", "row", "geom", F.expr(geo.bbox("geom")).alias("box"), F.expr(geo.segments("geom")).alias("segs"))
     )
     left = shapes(base)
-    first = (
+    first = stored(
         overlapping_pairs(left.select("id", "box", "segs"), masks.select("id", "row", "box", "segs"))
         .filter(F.expr(geo.PREDICATES[predicate]("l.segs", "r.segs")))
         .groupBy(F.col("l.id").alias("aid")).agg(F.min_by("r.id", F.col("r.row")).alias("bid"))
@@ -39,7 +39,7 @@ def clip(base: DataFrame, source: DataFrame, predicate: str = "intersects") -> D
         first.join(left.select(F.col("id").alias("aid"), F.col("geom").alias("a")), "aid")
         .join(masks.select(F.col("id").alias("bid"), F.col("geom").alias("b")), "bid")
     )
-    cut = intersections(pairs).filter("size(geom.parts) > 0").select(F.col("aid").alias("__gid"), F.col("geom").alias("__clipped"))
+    cut = intersections(spread(pairs, first.count())).filter("size(geom.parts) > 0").select(F.col("aid").alias("__gid"), F.col("geom").alias("__clipped"))
     joined = base.withColumn("__gid", geometry_id(F.col("geom"))).join(cut.hint("merge"), "__gid", "left")
     return joined.select(
         *[F.coalesce("__clipped", "geom").alias("geom") if c == "geom" else F.col(geo.quote(c)) for c in base.columns],
