@@ -89,8 +89,10 @@ def _with_level(df: DataFrame) -> DataFrame:
 
 def _with_cells(df: DataFrame, own_tag: int, other_levels: list[int], strict: bool) -> DataFrame:
     """One row per (tag, level, cx, cy). Tag 0 pairs a left row at its own level with right
-    rows as small or smaller; tag 1 a right row at its own level with smaller left rows."""
+    rows as small or smaller; tag 1 a right row at its own level with smaller left rows. Where
+    the other side has none as small, a row has no cells of its own level."""
     listed = ", ".join(map(str, sorted(other_levels)))
+    smallest = min(other_levels, default=FLOOR_LEVEL)
     coarser = f"filter(CAST(array({listed}) AS ARRAY<INT>), l -> l {'>' if strict else '>='} level)"
     cells = (
         "transform({levels}, l -> transform(sequence(CAST(floor(box.xmin / pow(2D, l)) AS BIGINT), "
@@ -98,7 +100,7 @@ def _with_cells(df: DataFrame, own_tag: int, other_levels: list[int], strict: bo
         "CAST(floor(box.ymin / pow(2D, l)) AS BIGINT), CAST(floor(box.ymax / pow(2D, l)) AS BIGINT)), "
         "cy -> named_struct('tag', {tag}, 'level', l, 'cx', cx, 'cy', cy))))"
     )
-    own = cells.format(levels="array(level)", tag=own_tag)
+    own = cells.format(levels=f"filter(array(level), l -> l {'>=' if strict else '>'} {smallest})", tag=own_tag)
     rest = cells.format(levels=coarser, tag=1 - own_tag)
     return df.withColumn("cell", F.explode(F.expr(f"concat(flatten(flatten({own})), flatten(flatten({rest})))")))
 

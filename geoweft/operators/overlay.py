@@ -117,10 +117,11 @@ def intersections(pairs: DataFrame) -> DataFrame:
 
 # ---- within a row: the few polygons of a group -------------------------------
 
-def spread(rows: DataFrame, count: int) -> DataFrame:
-    """Rows that cost a task far more than their bytes tell, over tasks by their number."""
+def spread(rows: DataFrame, count: int, *by: str) -> DataFrame:
+    """Rows that cost a task far more than their bytes tell, over tasks by their number (or that
+    of their groups `by` columns)."""
     spark = rows.sparkSession
-    return rows.repartition(max(1, count // ROWS_PER_TASK, min(spark.sparkContext.defaultParallelism, count // LEAST_ROWS_PER_TASK)))
+    return rows.repartition(max(1, count // ROWS_PER_TASK, min(spark.sparkContext.defaultParallelism, count // LEAST_ROWS_PER_TASK)), *by)
 
 
 def face(side: str, parts: str) -> str:
@@ -155,8 +156,8 @@ def _in_rows(rows: DataFrame, subtract: bool) -> tuple[DataFrame | None, DataFra
     if every and large == every:
         return None, rows
     small = rows.join(groups.filter("large").hint("merge"), "k", "left_anti") if large else rows
-    packed = small.groupBy("k").agg(F.collect_list(F.expr(face("side", "geom.parts"))).alias("faces"))
-    result = bounded(spread(packed, every - large), precision_grid(rows.select(F.expr(geo.bbox("geom")).alias("box"))), subtract)
+    packed = spread(small, every - large, "k").groupBy("k").agg(F.collect_list(F.expr(face("side", "geom.parts"))).alias("faces"))
+    result = bounded(packed, precision_grid(rows.select(F.expr(geo.bbox("geom")).alias("box"))), subtract)
     return result, rows.join(groups.filter("large").hint("merge"), "k", "left_semi") if large else None
 
 

@@ -345,17 +345,25 @@ def _snapped(polys: DataFrame, snap: float) -> DataFrame:
     verts = polys.select(F.explode(F.expr(geo.vertices("geom"))).alias("v")).select("v.x", "v.y").distinct()
     boxed = stored(verts.withColumn("box", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))))
     wide = boxed.withColumn("box", F.expr(f"named_struct('xmin', x - {snap!r}D, 'ymin', y - {snap!r}D, 'xmax', x + {snap!r}D, 'ymax', y + {snap!r}D)"))
-    near = overlapping_pairs(wide, boxed).filter(f"pow(l.x - r.x, 2) + pow(l.y - r.y, 2) <= {snap * snap!r}D")
-    moves = _lowest_reached(stored(near.select(F.struct("l.x", "l.y").alias("v"), F.struct("r.x", "r.y").alias("w")))).select("v.x", "v.y", "to")
+    near = overlapping_pairs(wide, boxed).filter(f"pow(l.x - r.x, 2) + pow(l.y - r.y, 2) <= {snap * snap!r}D AND NOT (l.x = r.x AND l.y = r.y)")
+    near = stored(near.select(F.struct("l.x", "l.y").alias("v"), F.struct("r.x", "r.y").alias("w")))
+    # points with the next one of their ring; what isn't finite is near nothing, itself included
+    n = geo.var("n")
+    finite = f"filter(ring, {n} -> abs({n}.x) < double('Infinity') AND abs({n}.y) < double('Infinity'))"
+    ahead = f"transform({finite}, {n} -> named_struct('x', {n}.x + 0D, 'y', {n}.y + 0D))"
     rings = polys.select("row", F.posexplode("geom.parts").alias("p", "part")).select(
-        "row", "p", F.posexplode("part.rings").alias("q", "ring"))
-    points = rings.select("row", "p", "q", F.posexplode("ring").alias("i", "v")).select("row", "p", "q", "i", "v.x", "v.y")
-    moved = stored(points.join(moves, ["x", "y"]).select("row", "p", "q", "i", F.col("to.x").alias("x"), F.col("to.y").alias("y")))
+        "row", "p", F.posexplode("part.rings").alias("q", "ring")).select("row", "p", "q", F.expr(ahead).alias("v"))
+    points = rings.select("row", "p", "q", F.posexplode(F.expr(
+        "transform(v, (a, i) -> named_struct('x', a.x, 'y', a.y, 'nx', get(v, i + 1).x, 'ny', get(v, i + 1).y))")).alias("i", "e")).select("row", "p", "q", "i", "e.*")
+    if not near.isEmpty():  # only vertices that have others near them can move
+        moves = stored(_lowest_reached(stored(near.unionByName(near.select("v", F.col("v").alias("w")).distinct()))))
+        for x, y in (("x", "y"), ("nx", "ny")):
+            to = moves.select(F.col("v.x").alias(x), F.col("v.y").alias(y), "to")
+            points = points.join(to.hint("merge"), [x, y], "left").withColumn(x, F.coalesce("to.x", x)).withColumn(y, F.coalesce("to.y", y)).drop("to")
+    moved = stored(points.select("row", "p", "q", "i", "x", "y", "nx", "ny"))
     # an edge passing within `snap` of a vertex gets it
-    edges = moved.withColumn("nx", F.expr("lead(x) OVER (PARTITION BY row, p, q ORDER BY i)")).withColumn(
-        "ny", F.expr("lead(y) OVER (PARTITION BY row, p, q ORDER BY i)")).filter("nx IS NOT NULL")
-    edge_boxes = stored(edges.withColumn("box", F.expr(
-        f"named_struct('xmin', least(x, nx) - {snap!r}D, 'ymin', least(y, ny) - {snap!r}D, 'xmax', greatest(x, nx) + {snap!r}D, 'ymax', greatest(y, ny) + {snap!r}D)")))
+    edge_boxes = moved.filter("nx IS NOT NULL").withColumn("box", F.expr(
+        f"named_struct('xmin', least(x, nx) - {snap!r}D, 'ymin', least(y, ny) - {snap!r}D, 'xmax', greatest(x, nx) + {snap!r}D, 'ymax', greatest(y, ny) + {snap!r}D)"))
     kept = stored(moved.select("x", "y").distinct().withColumn("box", F.struct(
         F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))))
     seg = "named_struct('x1', l.x, 'y1', l.y, 'x2', l.nx, 'y2', l.ny)"
@@ -365,7 +373,7 @@ def _snapped(polys: DataFrame, snap: float) -> DataFrame:
         f"{geo.point_segment_distance2('r.x', 'r.y', 's')} <= {snap * snap!r}D"
     ).select("l.row", "l.p", "l.q", "l.i", "t", "r.x", "r.y")
     every = moved.select("row", "p", "q", "i", F.lit(0.0).alias("t"), "x", "y").unionByName(bends)
-    ring = every.groupBy("row", "p", "q").agg(F.expr(
+    ring = every.repartition("row").groupBy("row", "p", "q").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('i', i, 't', t, 'x', x, 'y', y))), "
         "v -> named_struct('x', v.x, 'y', v.y, 'z', CAST(NULL AS DOUBLE)))").alias("ring"))
     clean = ring.withColumn("ring", F.expr(geo.drop_repeats("ring"))).filter(F.expr(f"{geo.ring_area2('ring')} <> 0"))
