@@ -161,9 +161,10 @@ def _covered(f: Faces, points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return in_a, in_b
 
 
-def boundaries(rows: pa.ListArray, inverse: float, subtract: bool) -> pa.ListArray:
+def boundaries(rows: pa.ListArray, inverse: float, subtract: bool, own: bool = False) -> pa.ListArray:
     """Of each row the directed edges around the union of its polygons or, with `subtract`, around
-    the one of side `a` without those of side `b`."""
+    the one of side `a` without those of side `b`; with `own`, of the union's only those that
+    polygons of side `a` have."""
     f = Faces(rows, inverse)
     e, edge = _cut(f, inverse) if len(f.ends) else (f.ends, f.face)
     of_b = f.is_b[f.face[edge]]
@@ -171,6 +172,8 @@ def boundaries(rows: pa.ListArray, inverse: float, subtract: bool) -> pa.ListArr
     # an edge of `a` that loses is looked at on its inside, all others on their outside
     in_a, in_b = _covered(f, _beside(e, np.where(~of_b & subtract, 1.0, -1.0)), row)
     kept = in_a & ~in_b if subtract else ~(in_a | in_b)
+    if own:
+        kept &= ~of_b
     e, row, of_b = e[kept], row[kept], of_b[kept]
     if subtract:
         e = np.where(of_b[:, None], e[:, [2, 3, 0, 1]], e)

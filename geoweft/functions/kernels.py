@@ -11,6 +11,8 @@ from .wkb import PART_ARROW
 
 # Edges from which on the rows followed so far are turned back into Arrow's.
 BATCH_EDGES = 20_000
+# Tiles of a further round lie by this share of their size beside those of the one before.
+SHIFT = 0.37
 
 
 def follow_edges(edges: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float]]]:
@@ -89,19 +91,30 @@ def nest_rings(rings) -> list[list]:
     clockwise one a hole of the smallest shell around it."""
     sized = [(signed_area(r), r) for r in rings]
     shells = sorted(((a, [r]) for a, r in sized if a > 0), key=lambda s: s[0])
+    around = Shells([(a, polygon[0]) for a, polygon in shells])
     for a, hole in sized:
-        if a >= 0:
-            continue
-        for size, polygon in shells:
-            shell = polygon[0]
-            # a vertex of a hole may touch its shell: ask at the middle of an edge
-            (x1, y1), (x2, y2) = hole[0], hole[1]
-            if size >= -a and (_inside((x1 + x2) / 2, (y1 + y2) / 2, shell)):
-                polygon.append(hole)
-                break
+        if a < 0 and (at := around.of_hole(a, hole)) is not None:
+            shells[at][1].append(hole)
     return [polygon for _, polygon in shells]
 
 
+class Shells:
+    """Rings with their areas, smallest first."""
+
+    def __init__(self, shells):
+        self.rings = [r for _, r in shells]
+        self.sizes = np.array([a for a, _ in shells])
+        self.boxes = np.array([(*np.min(r, axis=0), *np.max(r, axis=0)) for r in self.rings]).reshape(-1, 4)
+
+    def of_hole(self, area: float, hole) -> int | None:
+        """The number of the smallest one around a hole."""
+        # a vertex of a hole may touch its shell: ask at the middle of an edge
+        x, y = (hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2
+        b = self.boxes
+        near = (self.sizes >= -area) & (b[:, 0] <= x) & (x <= b[:, 2]) & (b[:, 1] <= y) & (y <= b[:, 3])
+        return next((int(i) for i in np.flatnonzero(near) if _inside(x, y, self.rings[i])), None)
+
+
 def polygons_from_edges(edges: pa.Array) -> pa.Array:
     """Per row: directed edges to the polygon parts they bound. One row's edges at a time are
     Python's, as a boundary may be long and a batch hold many."""
@@ -127,6 +140,82 @@ def polygons_from_edges(edges: pa.Array) -> pa.Array:
     return pa.concat_arrays([*done, pa.array(waiting, kind)])
 
 
+def closed_in_tile(edges: list[tuple[float, float, float, float]], inside) -> tuple[list[list], list[int]]:
+    """Polygons ([shell, hole, …]) whose edges all begin `inside` a convex tile, and the numbers of
+    the other edges that do. Given are all edges that begin or end there, so every vertex of the
+    tile has its edges; a shell that lies in it has its holes there too."""
+    own = [i for i, e in enumerate(edges) if inside(e[0], e[1])]
+    out: dict[tuple[float, float], list[int]] = {}
+    for i in own:
+        out.setdefault(edges[i][:2], []).append(i)
+    ahead: dict[int, int] = {}
+    came = dict.fromkeys(own, 0)
+    for i, (x1, y1, x2, y2) in enumerate(edges):
+        if not inside(x2, y2):
+            continue
+        nexts = out.get((x2, y2))
+        if nexts is None:
+            return [], own  # an open boundary
+        if len(nexts) > 1:
+            back = math.atan2(y1 - y2, x1 - x2)
+            # the first one clockwise from the way back is the sharpest left turn
+            at = min(nexts, key=lambda j: ((back - math.atan2(edges[j][3] - y2, edges[j][2] - x2)) % (2 * math.pi) or 2 * math.pi, edges[j]))
+        else:
+            at = nexts[0]
+        ahead[i] = at
+        came[at] += 1
+    if any(n != 1 for n in came.values()):
+        return [], own
+    walk_of: dict[int, int] = {}
+    walks = []
+    for first in own:
+        walk, at = [], first
+        while at is not None and at in came and at not in walk_of:
+            walk_of[at] = len(walks)
+            walk.append(at)
+            at = ahead.get(at)
+        walks.append(walk if walk and at == first else [])
+    loops = []  # (area, ring, its walk)
+    for w, walk in enumerate(walks):
+        for ring in _split_at_repeats([edges[i][:2] for i in walk]) if walk else ():
+            if (area := signed_area(ring)) != 0:
+                loops.append((area, ring, w))
+    shells = sorted((s for s in loops if s[0] > 0), key=lambda s: s[0])
+    around = Shells([s[:2] for s in shells])
+    holes = [(ring, w, around.of_hole(area, ring)) for area, ring, w in loops if area < 0]
+    # a hole whose shell is elsewhere waits for it, with all that hangs together with it
+    waiting = {w for _, w, at in holes if at is None}
+    while more := {w for _, w, at in holes if at is not None and shells[at][2] in waiting} | {
+            shells[at][2] for _, w, at in holes if at is not None and w in waiting}:
+        if more <= waiting:
+            break
+        waiting |= more
+    polygons = {i: [ring] for i, (_, ring, w) in enumerate(shells) if w not in waiting}
+    for ring, w, at in holes:
+        if w not in waiting:
+            polygons[at].append(ring)
+    done = {i for w, walk in enumerate(walks) if w not in waiting for i in walk}
+    return list(polygons.values()), [i for i in own if i not in done]
+
+
+def polygons_in_tiles(edges: pa.Array, tiles: pa.Array) -> list[pa.Array]:
+    """Per row: the edges that begin or end in a tile (`x`, `y`, of a `size`, in this `turn`) to the
+    polygon parts that lie in it, and the edges beginning there that bound none of them."""
+    parts, rest = [], []
+    for row, t in zip(edges, tiles.to_pylist()):
+        size, off, place = t["size"], SHIFT * t["turn"], (t["x"], t["y"])
+        flat = row.values
+        rows = list(zip(*[flat.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("x1", "y1", "x2", "y2")]))
+        found, left = closed_in_tile(rows, lambda x, y: (math.floor(x / size + off), math.floor(y / size + off)) == place)
+        shapes = [rings for p in found if (rings := [r for r in map(straight, p) if len(r) > 2])]
+        parts.append(pa.array([[
+            {"dim": 2, "rings": [[{"x": x, "y": y, "z": None} for x, y in r + r[:1]] for r in rings]} for rings in shapes
+        ]], pa.list_(PART_ARROW)))
+        some = flat.take(pa.array(left, pa.int64()))
+        rest.append(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some))
+    return [pa.concat_arrays(parts), pa.concat_arrays(rest)]
+
+
 def simple_loops(loops: pa.Array) -> list[list[list[dict]]]:
     """Per row: a closed walk along edges to the rings it touches itself in, without vertices
     on straight runs; the same as for edges that are followed within a row."""

@@ -8,6 +8,7 @@ each other by grid cell, so one group may be as large as the whole table."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from ..functions import faces as row_faces
 from ..functions import kernels, noding, planar
 from ..functions.wkb import GEOMETRY_ARROW, PART_ARROW
 from .chains import assembled, closed_rings
-from .grid import grown, overlapping_pairs, stored
+from .grid import FLOOR_LEVEL, MOST_HOT_CELLS, grown, overlapping_pairs, stored
 
 # Edges of one result geometry that are followed into rings within a row; a larger boundary
 # is put in order by joins first.
@@ -31,7 +32,15 @@ LEAST_ROWS_PER_TASK = 500
 # Edges of a group of polygons up to which its union or difference happens within a row.
 ROW_FACES = 2_000
 
+# Blocks of the map are as many times (a power of two) as large as the largest polygon of a group.
+BLOCK_STEPS = (2, 3, 4, 5, 6)
+# Edges of a boundary that lie in a tile of the map on the average, and rounds of tiles.
+TILE_EDGES = 5_000
+TILE_ROUNDS = 3
+
 EDGE = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
+EDGES_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]))
+EDGES_ARROW = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
 
 
 @F.arrow_udf(T.ArrayType(geo.PART_TYPE))
@@ -254,11 +263,75 @@ def union_parts(rows: DataFrame) -> DataFrame:
 
 def union_edges(rows: DataFrame) -> DataFrame:
     """(`k`, `e`): the directed boundary of each group's union."""
-    faces, inverse = _faces(rows.withColumn("side", F.lit("a")))
+    local, wide = _in_blocks(rows)
+    if wide is None:
+        return local
+    faces, inverse = _faces(wide.withColumn("side", F.lit("a")))
     pieces = _labelled_pieces(faces, inverse)
     right = noding.beside("e", -1)
     covered = _probe(pieces, faces, *right)
-    return pieces.join(covered, ["h", "k", "pid"], "left_anti").select("k", "e")
+    edges = pieces.join(covered, ["h", "k", "pid"], "left_anti").select("k", "e")
+    return edges if local is None else local.unionByName(edges)
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MOST_HOT_CELLS else table
+
+
+def _in_blocks(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows (`k`, `geom`): the boundaries (`k`, `e`) of the unions of groups whose polygons lie on the
+    map so that none of its blocks is crowded, and the rows of the others; None where there are none.
+
+    A polygon is at home in the block of its middle, and goes to every block at home in which one
+    may be that it meets; so each block can tell what its own polygons' edges add to the boundary."""
+    p = geo.var("p")
+    edges = f"CASE WHEN forall(geom.parts, {p} -> {p}.dim = 2) THEN size({geo.vertices('geom')}) ELSE {ROW_FACES + 1} END"
+    boxed = stored(rows.filter("size(geom.parts) > 0").select("k", "geom", F.expr(geo.bbox("geom")).alias("box"), F.expr(edges).alias("n")))
+    inverse = precision_grid(boxed)
+    # what is beside an edge is asked for a millionth of its length off it
+    groups = boxed.groupBy("k").agg(F.expr("max(box.xmax - box.xmin) / 2").alias("hx"), F.expr("max(box.ymax - box.ymin) / 2").alias("hy")).withColumn(
+        "margin", F.expr(f"4D / {inverse} + 1e-5D * (hx + hy)")).withColumn(
+        "size", F.expr(f"pow(2D, greatest({FLOOR_LEVEL}, ceil(log2(2 * greatest(hx, hy) + margin))))"))
+    groups = stored(groups)
+    count = groups.count()
+    if not count:
+        return None, None
+    middle = lambda a: f"CAST(floor((box.{a}min + box.{a}max) / 2 / size) AS BIGINT)"
+    cells = (
+        boxed.select("k", "box", "n").join(_small(groups.select("k", "size"), count), "k")
+        .groupBy("k", F.expr(middle("x")).alias("cx"), F.expr(middle("y")).alias("cy")).agg(F.sum("n").alias("n"))
+    )
+    # at most what the cells of a block and those around it hold
+    near = lambda c: f"array_distinct(transform(sequence({c} - 1, {c} + 1), v -> CAST(floor(v / pow(2D, step)) AS BIGINT)))"
+    crowds = (
+        cells.select("k", "cx", "cy", "n", F.explode(F.lit(list(BLOCK_STEPS))).alias("step"))
+        .select("k", "step", "n", "cy", F.explode(F.expr(near("cx"))).alias("bx")).select("k", "step", "n", "bx", F.explode(F.expr(near("cy"))).alias("by"))
+        .groupBy("k", "step", "bx", "by").agg(F.sum("n").alias("n"))
+        .groupBy("k", "step").agg(F.max("n").alias("n")).filter(F.col("n") <= ROW_FACES)
+    )
+    fits = stored(crowds.groupBy("k").agg(F.max("step").alias("step")).join(groups, "k").withColumn("size", F.expr("size * pow(2D, step)")).drop("step"))
+    fitting = fits.count()
+    wide = None if fitting == count else boxed.join(_small(fits.select("k"), fitting), "k", "left_anti").select("k", "geom")
+    if not fitting:
+        return None, wide
+    reach = lambda a: (
+        f"sequence(CAST(floor((box.{a}min - h{a} - margin) / size) AS BIGINT), CAST(floor((box.{a}max + h{a} + margin) / size) AS BIGINT))")
+    dealt = (
+        boxed.join(_small(fits, fitting), "k")
+        .withColumn("cx", F.explode(F.expr(reach("x")))).withColumn("cy", F.explode(F.expr(reach("y"))))
+        .select("k", "cx", "cy", F.expr(face(f"CASE WHEN cx = {middle('x')} AND cy = {middle('y')} THEN 'a' ELSE 'b' END", "geom.parts")).alias("face"))
+    )
+    packed = spread(dealt, boxed.count(), "k", "cx", "cy").groupBy("k", "cx", "cy").agg(F.collect_list("face").alias("faces"))
+    grid = float(inverse.rstrip("D"))
+
+    @F.arrow_udf(EDGES_TYPE)
+    def own_edges(faces: pa.Array, _same: pa.Array) -> pa.Array:
+        done = [row_faces.boundaries(some, grid, False, own=True) for some in row_faces.batches(faces)]
+        return pa.concat_arrays(done) if done else pa.array([], EDGES_ARROW)
+
+    own_edges = own_edges.asNondeterministic()  # computed once, behind the argument's expression
+    found = packed.filter("exists(faces, f -> f.side = 'a')").select("k", own_edges("faces", "faces").alias("edges"))
+    return found.select("k", F.explode("edges").alias("e")), wide
 
 
 def difference_parts(rows: DataFrame) -> DataFrame:
@@ -300,7 +373,51 @@ def rings(edges: DataFrame) -> DataFrame:
     """(`k`, `parts`) from directed boundary edges (`k`, `e`)."""
     small, large = _by_size(edges)
     result = _row_rings(small)
-    return result if large is None else result.unionByName(assembled(closed_rings(large)))
+    if large is None:
+        return result
+    found = []
+    for turn in range(TILE_ROUNDS):
+        parts, large = _tiled(large, turn)
+        found.append(parts)
+        if large.isEmpty():
+            break
+    # what lies across the tiles of all rounds
+    small, large = _by_size(large)
+    found.append(_row_rings(small).select("k", F.explode("parts").alias("part")))
+    if large is not None:
+        found.append(assembled(closed_rings(large)).select("k", F.explode("parts").alias("part")))
+    every = reduce(DataFrame.unionByName, found)
+    return result.unionByName(every.groupBy("k").agg(F.collect_list("part").alias("parts")))
+
+
+@F.arrow_udf(T.StructType([T.StructField("parts", T.ArrayType(geo.PART_TYPE)), T.StructField("rest", EDGES_TYPE)]))
+def _closed_in_tile(edges: pa.Array, tile: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(kernels.polygons_in_tiles(edges, tile), ["parts", "rest"])
+
+
+_closed_in_tile = _closed_in_tile.asNondeterministic()
+
+
+def _tiled(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Boundary edges (`k`, `e`, stored) as the polygons (`k`, `part`) that lie in a tile of the map
+    each, and the edges that bound none of them. A crowded tile's edges are among these."""
+    sizes = edges.groupBy("k").agg(
+        F.expr("max(e.x1) - min(e.x1)").alias("w"), F.expr("max(e.y1) - min(e.y1)").alias("h"), F.count(F.lit(1)).alias("n"))
+    sizes = stored(sizes.select("k", F.expr(f"sqrt(w * h / ceil(n / {TILE_EDGES}))").alias("size"), "n"))
+    total, groups = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    place = lambda n: "named_struct({})".format(", ".join(
+        f"'{a}', CAST(floor(e.{a}{n} / size + {kernels.SHIFT!r}D * {turn}) AS BIGINT)" for a in "xy"))
+    # at both ends of an edge
+    dealt = edges.join(_small(sizes.filter("size > 0").drop("n"), groups), "k").withColumn("tile", F.explode(F.expr(f"array_distinct(array({place(1)}, {place(2)}))")))
+    crowded = stored(dealt.groupBy("k", "tile").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROW_EDGES).drop("n"))
+    left = []
+    if not crowded.isEmpty():
+        left.append(dealt.filter(F.expr(f"tile = {place(1)}")).join(crowded, ["k", "tile"], "left_semi").select("k", "e"))
+        dealt = dealt.join(crowded, ["k", "tile"], "left_anti")
+    tiles = spread(dealt, (total or 0) // 10, "k", "tile").groupBy("k", "tile").agg(F.first("size").alias("size"), F.collect_list("e").alias("edges"))
+    done = stored(tiles.select("k", _closed_in_tile("edges", F.struct("tile.x", "tile.y", "size", F.lit(turn).alias("turn"))).alias("found")))
+    rest = reduce(DataFrame.unionByName, left, done.select("k", F.explode("found.rest").alias("e")))
+    return done.select("k", F.explode("found.parts").alias("part")), rest
 
 
 def hole_rings(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Work that grows with the rows: what is shuffled for a join, a coverage or a union."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.operators import grid, polygons
+from geoweft.functions import kernels
+from geoweft.operators import grid, overlay, polygons
 
 
 def squares(features, boxes):
@@ -30,3 +33,49 @@ def test_vertices_over_edges_follow_what_moved(features, shown):
     found = shown(polygons.clean_coverage(df, snap_distance=0.05), wkt=True)
     assert [r[1] for r in found] == [pytest.approx(100, abs=0.2), pytest.approx(100.1, abs=0.2), pytest.approx(25.05, abs=0.2)]
     assert found[1][0] == "POLYGON ((10 0, 20.01 0, 20.01 10, 15.02 10.01, 10 10, 10 0))"
+
+
+def parts_of(df):
+    """Groups with their polygons, each as its shell and its holes, without the place a ring begins at."""
+    turned = lambda r: min(tuple(r[i:] + r[:i]) for i in range(len(r)))
+    ring = lambda r: turned([(v.x, v.y) for v in r[:-1]])
+    return {row.k: sorted((ring(p.rings[0]), sorted(map(ring, p.rings[1:]))) for p in row.parts) for row in df.collect()}
+
+
+@pytest.mark.parametrize("tile_edges", [20, 2_000])
+def test_blocks_and_tiles_find_the_union_of_all_edges(features, monkeypatch, tile_edges):
+    rng = random.Random(5)
+    rows = [(str(i % 2), rng.randrange(20) * 200 + rng.randrange(40), rng.randrange(120), rng.choice((3, 9, 14, 20))) for i in range(600)]
+    frames = [("0", f"POLYGON(({x} 800,{x + 40} 800,{x + 40} 840,{x} 840,{x} 800),({x + 3} 803,{x + 3} 837,{x + 37} 837,{x + 37} 803,{x + 3} 803))") for x in range(500, 900, 60)]
+    islands = [("0", x + 15, 815, 9) for x in range(500, 900, 60)] + [("0", 1000, 805, 20), ("0", 1000, 805, 20)]
+    shapes = [(n, f"POLYGON(({x} {y},{x + w} {y},{x + w} {y + w},{x} {y + w},{x} {y}))") for n, x, y, w in rows + islands]
+    df = features(shapes + frames + [("0", "POLYGON((1000 900,1020 907,1010 920,1000 900))"), ("0", "POLYGON((1005 895,1030 910,1001 918,1005 895))")])
+    df = df.selectExpr("name AS k", "geom")
+    monkeypatch.setattr(overlay, "ROW_FACES", 500)
+    with monkeypatch.context() as m:
+        m.setattr(overlay, "_in_blocks", lambda rows: (None, rows))
+        expected = parts_of(overlay.union_parts(df))
+    monkeypatch.setattr(overlay, "_labelled_pieces", None)  # edges aren't joined with each other
+    monkeypatch.setattr(overlay, "TILE_EDGES", tile_edges)
+    monkeypatch.setattr(overlay, "ROW_EDGES", 400)
+    assert parts_of(overlay.union_parts(df)) == expected
+    assert len(expected["0"]) > 60 and sum(len(holes) > 0 for _, holes in expected["0"]) >= 7
+
+
+def test_crowded_groups_are_joined_by_their_edges(features, monkeypatch):
+    df = squares(features, [("a", x % 7, x // 7, 5) for x in range(49)]).selectExpr("name AS k", "geom")
+    monkeypatch.setattr(overlay, "ROW_FACES", 100)
+    local, wide = overlay._in_blocks(df)
+    assert local is None and wide.count() == 49
+    assert parts_of(overlay.union_parts(df)) == {"a": [(((0, 0), (11, 0), (11, 11), (0, 11)), [])]}
+
+
+def test_a_hole_waits_for_a_shell_across_tiles():
+    ring = lambda *v: [(*a, *b) for a, b in zip(v, v[1:] + v[:1])]
+    shell, hole = ring((0, 0), (30, 0), (30, 10), (0, 10)), ring((2, 2), (2, 8), (8, 8), (8, 2))
+    island = ring((4, 4), (6, 4), (6, 6), (4, 6))
+    polygons_, rest = kernels.closed_in_tile(shell + hole + island, lambda x, y: x < 20)
+    assert polygons_ == [[[(4, 4), (6, 4), (6, 6), (4, 6)]]] and sorted(rest) == [0, 3, 4, 5, 6, 7]
+    polygons_, rest = kernels.closed_in_tile(shell + hole + island, lambda x, y: True)
+    assert [len(p) for p in polygons_] == [1, 2] and not rest
+    assert kernels.closed_in_tile(shell[:2] + hole, lambda x, y: True)[0] == []
