@@ -11,6 +11,7 @@ cell are dealt over an n × m block of sub-groups, each pair still meeting exact
 """
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -34,6 +35,12 @@ SPREAD_ROWS = 50_000
 # Hot cells up to which their table may be broadcast.
 MOST_HOT_CELLS = 100_000
 
+# Words of 64 bits for each box of a map of taken cells, and the most of them (8 MB).
+WORDS_PER_BOX = 4
+MOST_WORDS = 1 << 20
+# Boxes from which such a map has only every third level.
+MANY_BOXES = 1 << 20
+
 _own_folders: dict[str, str] = {}
 _scopes: list[str] = []
 
@@ -191,6 +198,57 @@ def deal_hot_cells(lc: DataFrame, rc: DataFrame):
     )
 
 
+def meeting(rows: DataFrame, boxed: DataFrame, geom: str = "geom") -> DataFrame:
+    """The rows whose geometry's box overlaps one of `boxed` (a stored table with `box`; touching
+    included), and some others: what is dropped meets nothing, so it needn't be shuffled or stored.
+
+    The boxes are marked in a map of bits by the cells they touch, from cells that hold few of them
+    up to one that holds all. It has a bounded size and is broadcast; where it is crowded, more rows
+    stay. The rows are read once."""
+    finite = "abs(box.xmin) < double('Infinity') AND abs(box.xmax) < double('Infinity') AND abs(box.ymin) < double('Infinity') AND abs(box.ymax) < double('Infinity')"
+    known = boxed.filter("box IS NOT NULL").select("box")
+    n, strange, x0, x1, y0, y1 = known.agg(
+        F.count(F.lit(1)), F.count_if(~F.expr(finite)), F.min("box.xmin"), F.max("box.xmax"), F.min("box.ymin"), F.max("box.ymax")).first()
+    if not n:
+        return rows.filter("false")
+    wide, high = x1 - x0, y1 - y0
+    if strange or max(wide, high) == math.inf:
+        return rows
+    apart = max(math.sqrt(wide) * math.sqrt(high) / math.sqrt(n), max(wide, high) / n) / 8
+    lowest = max(FLOOR_LEVEL, math.frexp(apart)[1] - 1) if apart else FLOOR_LEVEL
+    top = max(lowest, math.frexp(max(wide, high))[1])
+    step = 1 if n <= MANY_BOXES else 3
+    levels = [*range(lowest, top + step, step)]
+    words = min(MOST_WORDS, 1 << math.ceil(math.log2(WORDS_PER_BOX * n)))
+    listed = f"CAST(array({', '.join(map(str, levels))}) AS ARRAY<INT>)"
+    # the lowest of the levels at which a box touches four cells at most; null beyond the highest
+    side = "greatest(box.xmax - box.xmin, box.ymax - box.ymin)"
+    level = f"array_min(filter({listed}, l -> pow(2D, l) >= {side}))"
+    places = (
+        "flatten(flatten(transform({levels}, l -> transform(sequence(CAST(floor(box.xmin / pow(2D, l)) AS BIGINT), "
+        "CAST(floor(box.xmax / pow(2D, l)) AS BIGINT)), cx -> transform(sequence("
+        "CAST(floor(box.ymin / pow(2D, l)) AS BIGINT), CAST(floor(box.ymax / pow(2D, l)) AS BIGINT)), "
+        f"cy -> pmod(xxhash64(l, cx, cy), {words * 64}L))))))"
+    )
+    marked = known.withColumn("level", F.expr(level))
+    own = [r.level for r in marked.select("level").distinct().collect()]
+    taken = marked.select(F.explode(F.expr(places.format(levels=f"filter({listed}, l -> l >= level)"))).alias("at")).select(
+        F.expr("at DIV 64").alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bits"))
+    every = taken.unionByName(rows.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
+    bits = every.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).agg(
+        F.expr("array_sort(collect_list(named_struct('word', word, 'bits', bits)))").alias("b")).select(F.col("b.bits").alias("__bits"))
+    coarser = ", ".join(map(str, own))
+    tested = places.format(levels=f"filter(array_union(array({level}), CAST(array({coarser}) AS ARRAY<INT>)), l -> l >= {level})")
+    hit = "exists({}, at -> shiftright(__bits[CAST(at DIV 64 AS INT)], CAST(at % 64 AS INT)) & 1L = 1L)"
+    box = "transform(array({}), box -> {})[0]"
+    may = (
+        f"CASE WHEN box IS NULL THEN false WHEN NOT ({finite}) THEN true "
+        f"WHEN box.xmin > {x1!r}D OR box.xmax < {x0!r}D OR box.ymin > {y1!r}D OR box.ymax < {y0!r}D THEN false "
+        f"WHEN {level} IS NULL THEN true ELSE {hit.format(tested)} END"
+    )
+    return rows.join(F.broadcast(bits), F.expr(box.format(geo.bbox(geom), may)), "left_semi")
+
+
 def grown(box: str, by: str) -> str:
     return (
         f"named_struct('xmin', {box}.xmin - {by}, 'ymin', {box}.ymin - {by}, "

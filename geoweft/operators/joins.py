@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from . import strips
 from .aggregates import Aggregate, aggregate_column
-from .grid import geometry_id, grown, overlapping_pairs, shapes, stored
+from .grid import geometry_id, grown, meeting, overlapping_pairs, shapes, stored
 from .nearest import CellTree, candidates
 
 ROW = "__src_row"
@@ -30,10 +30,9 @@ def _distinct_sources(source: DataFrame, fields: dict[str, str]) -> DataFrame:
     )
 
 
-def _matching(base: DataFrame, source_shapes: DataFrame, predicate: str) -> DataFrame:
+def _matching(left: DataFrame, source_shapes: DataFrame, predicate: str) -> DataFrame:
     """Pairs (`l` a base shape, `r` a source shape) satisfying the predicate. Points and detailed
     polygons are matched by strips; their pairs come without `segs`, as they share no area."""
-    left = shapes(base).drop("geom")
     sides = [df.withColumn("sort", F.expr(strips.sort_of_shape())) for df in (left, source_shapes)]
     l_sorts, r_sorts = (df.agg(F.collect_set("sort")).first()[0] for df in sides)
 
@@ -64,6 +63,12 @@ def _matching(base: DataFrame, source_shapes: DataFrame, predicate: str) -> Data
     return reduce(DataFrame.unionAll, found)
 
 
+def _source_pairs(base: DataFrame, source: DataFrame, fields: dict[str, str], predicate: str) -> DataFrame:
+    """The matching pairs, the source's shapes with the first row having them."""
+    left = shapes(base).drop("geom")
+    return _matching(left, _distinct_sources(meeting(source, left), fields), predicate)
+
+
 def _without_segs(name: str, like: DataFrame) -> Column:
     """The struct `name` with the columns of `like`, null in place of `segs`."""
     return F.struct(*[
@@ -106,7 +111,7 @@ def spatial_join(
     if on_multiple == "largest_overlap":
         best = _largest_overlap(base, source, fields, predicate)
     else:
-        pairs = _matching(base, _distinct_sources(source, fields), predicate)
+        pairs = _source_pairs(base, source, fields, predicate)
         best = pairs.groupBy(F.col("l.id").alias("id")).agg(F.min_by("r.best", F.col(f"r.best.{ROW}")).alias("best"))
     return _with_matches(base, best, [F.col("best").getField(o).alias(names[o]) for o in fields])
 
@@ -115,7 +120,7 @@ def _largest_overlap(base: DataFrame, source: DataFrame, fields: dict, predicate
     from .overlay import pair_areas, spread
 
     pairs = stored(
-        _matching(base, _distinct_sources(source, fields), predicate)
+        _source_pairs(base, source, fields, predicate)
         .select(F.col("l.id").alias("id"), F.col("r.id").alias("rid"), "r.best", F.col("l.segs").alias("a"), F.col("r.segs").alias("b"))
         .withColumn("k", F.struct("id", "rid"))
     )
@@ -126,7 +131,8 @@ def _largest_overlap(base: DataFrame, source: DataFrame, fields: dict, predicate
 
 
 def _shape_pairs(base: DataFrame, source: DataFrame, predicate: str) -> DataFrame:
-    return _matching(base, shapes(source).drop("geom"), predicate).select(
+    left = shapes(base).drop("geom")
+    return _matching(left, shapes(meeting(source, left)).drop("geom"), predicate).select(
         F.col("l.id").alias("__gid"), F.col("r.id").alias("__sid"),
     )
 

@@ -139,8 +139,8 @@ def face(side: str, parts: str) -> str:
 
 
 def bounded(rows: DataFrame, inverse: str, subtract: bool) -> DataFrame:
-    """Rows (`k`, `faces`) as (`k`, `parts`): the union of each row's polygons or, with `subtract`,
-    those of side `a` without those of side `b`. Where nothing is left there is no row."""
+    """Rows (`k`, `faces`, others) with `parts` for `faces`: the union of each row's polygons or, with
+    `subtract`, those of side `a` without those of side `b`."""
     cells = float(inverse.rstrip("D"))
 
     @F.arrow_udf(T.ArrayType(geo.PART_TYPE))
@@ -149,7 +149,7 @@ def bounded(rows: DataFrame, inverse: str, subtract: bool) -> DataFrame:
         return pa.concat_arrays(done) if done else pa.array([], pa.list_(PART_ARROW))
 
     polygons = polygons.asNondeterministic()  # computed once, behind the argument's expression
-    return rows.select("k", polygons("faces", "faces").alias("parts")).filter("size(parts) > 0")
+    return rows.select(*[c for c in rows.columns if c != "faces"], polygons("faces", "faces").alias("parts"))
 
 
 def _in_rows(rows: DataFrame, subtract: bool) -> tuple[DataFrame | None, DataFrame | None]:
@@ -166,7 +166,7 @@ def _in_rows(rows: DataFrame, subtract: bool) -> tuple[DataFrame | None, DataFra
         return None, rows
     small = rows.join(groups.filter("large").hint("merge"), "k", "left_anti") if large else rows
     packed = spread(small, every - large, "k").groupBy("k").agg(F.collect_list(F.expr(face("side", "geom.parts"))).alias("faces"))
-    result = bounded(packed, precision_grid(rows.select(F.expr(geo.bbox("geom")).alias("box"))), subtract)
+    result = bounded(packed, precision_grid(rows.select(F.expr(geo.bbox("geom")).alias("box"))), subtract).filter("size(parts) > 0")
     return result, rows.join(groups.filter("large").hint("merge"), "k", "left_semi") if large else None
 
 

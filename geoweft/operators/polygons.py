@@ -201,38 +201,55 @@ def buffer(df: DataFrame, distance: float, key: str = ROW) -> DataFrame:
     single = "geom.kind = 'POINT' AND size(geom.parts) = 1"
     around = f"CASE WHEN size(geom.parts) = 0 THEN {empty} WHEN {single} THEN {circle if distance > 0 else empty} ELSE geom END"
     pending = f"(size(geom.parts) > 0 AND NOT ({single}) AND ({'true' if distance > 0 else geo.is_polygon('geom')}))"
-    rest = shapes(df.filter(F.expr(pending)).select("geom")).select(F.col("id").alias("k"), "geom", "segs", "box")
-    if rest.isEmpty():
+    others = [c for c in df.columns if c != "geom"]
+    # Each geometry once, with the row having it where that is the only one: such a row is grown
+    # where it lies, and nothing of it is joined or written again. Some types can't be stored.
+    told = not any(t in df.schema[c].dataType.simpleString() for c in others for t in ("void", "interval"))
+    row = F.struct(*[F.col(geo.quote(c)).alias(f"c{i}") for i, c in enumerate(others)]) if told and others else F.lit(None).cast("struct<c0: int>")
+    own = F.col("few") & ((F.col("n") == 1) if told and others else F.lit(False))
+    once = df.filter(F.expr(pending)).select(geometry_id(F.col("geom")).alias("k"), "geom", row.alias("row")).groupBy("k").agg(
+        F.first("geom").alias("geom"), F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    few = f"size({geo.segments('geom')}) <= {ROW_FACES // CAPSULE_EDGES}"
+    once = stored(once.select("k", "geom", F.when(F.col("n") == 1, F.col("row")).alias("row"), "n", F.expr(few).alias("few"))).withColumn("own", own)
+    boxes = once.select("few", "own", F.expr(geo.bbox("geom")).alias("box"))
+    total, held_few, held_own = boxes.agg(F.count(F.lit(1)), F.count_if("few"), F.count_if("own")).first()
+    if not total:
         thin = f"CASE WHEN geom IS NULL THEN NULL ELSE {around} END" if distance > 0 else (
             f"CASE WHEN geom IS NULL THEN NULL WHEN NOT {geo.is_polygon('geom')} THEN {empty} ELSE geom END")
         return df.withColumn("geom", F.expr(thin))
     # a shape of few segments holds its capsules itself; those of the others are rows
     # (merged and spread: what is stored is far smaller than its rows and the work on them)
-    few, side, s = f"size(segs) <= {ROW_FACES // CAPSULE_EDGES}", "'a'" if distance > 0 else "'b'", geo.var("s")
-    capsules = f"transform(segs, {s} -> {face(side, f'({_capsule(s, r)}).parts')})"
-    own = face("'a'", "geom.parts")
-    faces = f"CASE WHEN {geo.is_polygon('geom')} THEN concat({capsules}, array({own})) ELSE {capsules} END"
-    held = spread(rest.filter(few), rest.count()).select("k", F.expr(faces).alias("faces"))
-    parts = bounded(held, precision_grid(rest, abs(float(distance))), subtract=distance < 0)
-    grown_shape = parts.select("k", F.expr(geo.from_parts("parts")).alias("geom"))
-    rest = rest.filter(f"NOT ({few})")
-    if not rest.isEmpty():
-        hulls = rest.select("k", F.explode("segs").alias("s")).select("k", F.expr(_capsule("s", r)).alias("geom")).distinct()
-        if distance > 0:
-            solid = rest.filter(F.expr(geo.is_polygon("geom"))).select("k", "geom")
-            large = union_geometry(hulls.unionByName(solid))
-        else:
-            both = rest.select("k", "geom", F.lit("a").alias("side")).unionByName(hulls.withColumn("side", F.lit("b")))
-            large = difference_parts(both).select("k", F.expr(geo.from_parts("parts")).alias("geom"))
-        grown_shape = grown_shape.unionByName(large)
-    grown_shape = stored(grown_shape)
-    found = grown_shape.select(F.col("k").alias("__gid"), F.col("geom").alias("__grown"))
-    joined = df.withColumn("__gid", F.when(F.expr(pending), geometry_id(F.col("geom")))).join(found.hint("merge"), "__gid", "left")
-    new = (
-        f"CASE WHEN geom IS NULL THEN NULL WHEN __gid IS NOT NULL THEN coalesce(__grown, {empty}) "
-        f"WHEN size(geom.parts) = 0 OR {'false' if distance > 0 else 'true'} THEN {empty} ELSE {around} END"
-    )
-    return joined.withColumn("geom", F.expr(new)).select(*df.columns)
+    side, s = "'a'" if distance > 0 else "'b'", geo.var("s")
+    capsules = f"transform({geo.segments('geom')}, {s} -> {face(side, f'({_capsule(s, r)}).parts')})"
+    whole = face("'a'", "geom.parts")
+    faces = f"CASE WHEN {geo.is_polygon('geom')} THEN concat({capsules}, array({whole})) ELSE {capsules} END"
+    held = spread(once.filter("few"), held_few).select("k", "own", "row", F.expr(faces).alias("faces"))
+    parts = bounded(held, precision_grid(boxes, abs(float(distance))), subtract=distance < 0)
+    grown_shape = stored(parts.select("k", "own", "row", F.expr(f"CASE WHEN size(parts) > 0 THEN {geo.from_parts('parts')} ELSE {empty} END").alias("geom")))
+    unpacked = [F.col("geom") if c == "geom" else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns]
+    # points, and what has no geometry or comes to nothing
+    plain = f"CASE WHEN geom IS NULL THEN NULL WHEN size(geom.parts) = 0 OR {'false' if distance > 0 else 'true'} THEN {empty} ELSE {around} END"
+    result = df.filter(f"NOT coalesce({pending}, false)").withColumn("geom", F.expr(plain)).select(*df.columns)
+    if held_own:
+        result = result.unionByName(grown_shape.filter("own").select(*unpacked))
+    if held_own < total:
+        found = grown_shape.filter("NOT own").select("k", "geom")
+        if held_few < total:
+            rest = once.filter("NOT few").select("k", "geom", F.expr(geo.segments("geom")).alias("segs"))
+            hulls = rest.select("k", F.explode("segs").alias("s")).select("k", F.expr(_capsule("s", r)).alias("geom")).distinct()
+            if distance > 0:
+                solid = rest.filter(F.expr(geo.is_polygon("geom"))).select("k", "geom")
+                large = union_geometry(hulls.unionByName(solid))
+            else:
+                both = rest.select("k", "geom", F.lit("a").alias("side")).unionByName(hulls.withColumn("side", F.lit("b")))
+                large = difference_parts(both).select("k", F.expr(geo.from_parts("parts")).alias("geom"))
+            found = found.unionByName(stored(large))
+        keyed = df.filter(F.expr(pending)).select(*[F.col(geo.quote(c)) for c in others], geometry_id(F.col("geom")).alias("__gid"))
+        shared = once.filter("NOT own").select(F.col("k").alias("__gid")).join(
+            found.select(F.col("k").alias("__gid"), "geom").hint("merge"), "__gid", "left")
+        joined = keyed.join(shared.hint("merge"), "__gid").withColumn("geom", F.expr(f"coalesce(geom, {empty})"))
+        result = result.unionByName(joined.select(*df.columns))
+    return result
 
 
 def _capsule(s: str, r: str) -> str:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweft.functions import kernels
-from geoweft.operators import grid, overlay, polygons
+from geoweft.operators import grid, joins, overlay, polygons
 
 
 def squares(features, boxes):
@@ -79,3 +79,47 @@ def test_a_hole_waits_for_a_shell_across_tiles():
     polygons_, rest = kernels.closed_in_tile(shell + hole + island, lambda x, y: True)
     assert [len(p) for p in polygons_] == [1, 2] and not rest
     assert kernels.closed_in_tile(shell[:2] + hole, lambda x, y: True)[0] == []
+
+
+@pytest.mark.parametrize("many", [1 << 20, 1])
+def test_rows_dropped_before_a_join_meet_nothing(features, monkeypatch, many):
+    monkeypatch.setattr(grid, "MANY_BOXES", many)
+    rng = random.Random(3)
+
+    def boxes(n, sizes, lowest=-4000):
+        return [(str(i), rng.randrange(lowest, 4000), rng.randrange(-4000, 4000), rng.choice(sizes)) for i in range(n)]
+
+    def touch(a, b):
+        return all(a[i] <= b[i] + b[3] and b[i] <= a[i] + a[3] for i in (1, 2))
+
+    for rows, others in (
+        (boxes(400, (1, 5, 40)), boxes(60, (1, 3))), (boxes(200, (1, 0.125, 9000)), boxes(30, (0.25, 300))),
+        (boxes(100, (8, 1)), [("0", 16, 16, 16)]), ([("0", 0, 0, 16), ("1", 32, 32, 1), ("2", 33, 0, 1)], [("0", 16, 16, 16)]), (boxes(50, (2,)), []),
+    ):
+        near = grid.shapes(squares(features, others)).drop("geom")
+        kept = {r.name for r in grid.meeting(squares(features, rows), near).collect()}
+        met = {r[0] for r in rows if any(touch(r, o) for o in others)}
+        assert met <= kept and len(kept) <= len(met) + 0.3 * len(rows)
+
+
+def test_shapes_out_of_reach_are_not_stored_for_a_spatial_join(features, monkeypatch):
+    base = features([(str(i), f"POINT({i * 1000} 5)") for i in range(20)])
+    source = squares(features, [(str(i), i * 20, 0, 10) for i in range(1000)])
+    seen, pairs = [], joins.overlapping_pairs
+    monkeypatch.setattr(joins, "overlapping_pairs", lambda l, r: seen.append(r.count()) or pairs(l, r))
+    found = joins.spatial_join(base, source, {"hit": "name"})
+    assert [(r.name, r.hit) for r in found.orderBy("__src_row").collect()] == [(str(i), str(i * 50)) for i in range(20)]
+    assert joins.spatial_join(base, source, {"hit": "name"}, match="all").filter("hit IS NOT NULL").count() == 20
+    assert len(seen) == 2 and max(seen) < 100
+
+
+def test_a_grown_shape_of_one_row_is_not_joined_to_it(features, shown):
+    shapes = [("a", 0, 0, 10), ("b", 20, 0, 10), ("c", 50, 0, 4)]
+    alone = polygons.buffer(squares(features, shapes).withColumn("a b", F.struct("name")), -2.0)
+    assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert shown(alone, "name", "`a b`.name") == [("a", "a", 36), ("b", "b", 36), ("c", "c", 0)]
+    # copies, rows that come twice, and columns of no type
+    twice = squares(features, [*shapes, ("d", 20, 0, 10), ("e", 50, 0, 4)]).union(squares(features, [("a", 0, 0, 10)]))
+    assert shown(polygons.buffer(twice, -2.0), "name") == [("a", 36), ("a", 36), ("b", 36), ("c", 0), ("d", 36), ("e", 0)]
+    assert shown(polygons.buffer(squares(features, shapes).withColumn("nothing", F.lit(None)), -2.0), "name", "nothing") == [
+        ("a", None, 36), ("b", None, 36), ("c", None, 0)]
